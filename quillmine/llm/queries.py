@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmine.llm import mixing, packing
+from quillmine.llm import mixing, packing, warc
 from quillmine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,11 @@ ORACLE_SQL["op4_mixing"] = mixing.SQL
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_rows(warc.captures(table(spark, sf_dir, "pages"), payload=False))
+
+
+ORACLE_SQL["op8_warc"] = warc.SQL
