@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmine.llm import mixing, packing, warc
+from quillmine.llm import fingerprints, mixing, packing, simhash, substrings, warc
 from quillmine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op8_warc"] = warc.SQL
+
+
+@_query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    sketches = [fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint")]
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *sketches, "near_edited", "near_next")
+
+
+@_query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op9_substrings"] = substrings.SQL
