@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import fingerprints, mixing, packing, simhash, substrings, warc
+from quillmine.llm import fingerprints, language, mixing, packing, pii, simhash, substrings, toxicity, warc
 from quillmine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,32 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_substrings"] = substrings.SQL
+
+
+@_query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.find(docs, pii.fit(docs))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kinds = [count(k) for k in pii.KINDS]
+    return rows.select("doc_id", *kinds, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii_spans")).alias("spans"))
+
+
+@_query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language.classify(docs.select("doc_id", "text"), language.fit(docs))
+    return rows.select("doc_id", (language.fold(F.col("doc_id")) == language.HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out")
+    return rows.select("doc_id", held, F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
