@@ -36,7 +36,8 @@ THRESHOLD = 0.3
 CALIBRATION_ROWS = 20_000
 #: Words over which a peak is sought; most telling words that are averaged.
 PEAK, TELLING = 12, 3
-FEATURES = 3
+#: Counts that a word's class counts are weighed against.
+RARE = 5.0
 _WORD = re.compile(r"\w+")
 _MEMO: dict[str, int] = {}
 
@@ -109,13 +110,15 @@ class Sealed:
         self.types = right.sum(1)
         self.distinct = (right > 0).sum(1)
 
+    def _low(self, c: int, right: np.ndarray) -> np.ndarray:
+        """Continuation level: class counts, the shared ones, and a floor alike in both classes that calms rare words."""
+        base = self.base[right]
+        low = (np.maximum(self.right[c, right] - DISCOUNT, 0) + DISCOUNT * self.distinct[c] * base) / self.types[c] if self.types[c] else base
+        return low + RARE / max(1.0, float(self.types.sum()))
+
     def _log(self, c: int, pair: np.ndarray) -> np.ndarray:
         left, right = pair // WORDS, pair % WORDS
-        base = self.base[right]
-        if self.types[c]:
-            low = (np.maximum(self.right[c, right] - DISCOUNT, 0) + DISCOUNT * self.distinct[c] * base) / self.types[c]
-        else:
-            low = base
+        low = self._low(c, right)
         seen = self.left[c, left]
         there = np.maximum(seen, 1)
         high = np.maximum(self.pair[c, _bin(pair)] - DISCOUNT, 0) / there + np.minimum(DISCOUNT * self.kinds[c, left] / there, 1) * low
@@ -130,9 +133,10 @@ class Sealed:
         sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         span = min(PEAK, len(w))
         peak = (sums[span:] - sums[:-span]).max() / span
+        single = np.log(self._low(1, w) / self._low(0, w))
         n = min(TELLING, len(w))
-        telling = np.partition(ratio, len(w) - n)[len(w) - n :].mean()
-        return np.array([ratio.mean(), peak, telling], np.float64)
+        telling = np.partition(single, len(w) - n)[len(w) - n :].mean()
+        return np.array([ratio.mean(), peak, single.mean(), telling, single.max()], np.float64)
 
     def score(self, text: str | None) -> float:
         x = self.features(text) if self.weights is not None else None
