@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+import quillmine.plans.reference  # noqa: F401
