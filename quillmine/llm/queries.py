@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import fingerprints, language, mixing, packing, pii, simhash, substrings, toxicity, warc
+from quillmine.llm import fingerprints, language, media, mixing, packing, pii, simhash, substrings, toxicity, warc
 from quillmine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held = (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out")
     return rows.select("doc_id", held, F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every 20th vector's image, searched among the images of all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
