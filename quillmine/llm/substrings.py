@@ -8,8 +8,8 @@ anchors: windows whose anchor occurs once repeat nothing, those of shared anchor
 128-bit hash of their words.
 
 Defined cases: a null text has no words; texts shorter than a window are never cut; windows of very long
-texts are all judged; rows are ordered by doc_id (null first), then text hash, and wholly equal rows are
-one document; an empty table gives no rows; other columns pass through.
+texts are all judged; rows are ordered by doc_id (null first), then text hash, and rows of one id and
+equal texts are one document; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -103,68 +103,91 @@ def anchors(names: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
     return where, _mixed(context, rank)
 
 
-def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+def _batch(parts: list[tuple], names: list[str], kinds: list[np.dtype]) -> pa.RecordBatch:
+    """One batch of the documents' rows: (doc_id, tie, arrays of equal length) each."""
+    sizes = [len(p[2]) for p in parts]
+    row = pa.array(np.repeat(np.arange(len(parts)), sizes))
+    ids = [pa.array([p[i] for p in parts], pa.int64()).take(row) for i in (0, 1)]
+    rest = [pa.array(np.concatenate([p[2 + i] for p in parts]).astype(k) if parts else np.zeros(0, k)) for i, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*ids, *rest], names=["doc_id", "tie", *names])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors, each with the windows in a row that chose it: first start and number."""
     for batch in batches:
+        parts = []
         for doc, tie, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), strict=True):
             names = _names(words_of(text.as_py()))
-            if len(names) < WINDOW:
-                continue
-            where, name = anchors(names)
-            used = np.unique(where)
-            yield _rows([name[used].view(np.int64), pa.array([doc] * len(used), pa.int64()), pa.array([tie] * len(used), pa.int64()), used.astype(np.int32)], ["anchor", "doc_id", "tie", "at"])
+            if len(names) >= WINDOW:
+                where, name = anchors(names)
+                starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+                parts.append((doc, tie, name[where[starts]].view(np.int64), starts, np.diff(np.append(starts, len(where)))))
+        yield _batch(parts, ["anchor", "at", "n"], [np.int64, np.int32, np.int32])
+
+
+def _starts(runs: list[dict] | None) -> np.ndarray:
+    return np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]) if runs else np.zeros(0, np.int64)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, tie, text, at in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), batch.column(3), strict=True):
+        parts = []
+        for doc, tie, text, runs in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), batch.column(3), strict=True):
             words = words_of(text.as_py())
-            where, _ = anchors(_names(words))
-            shared = np.zeros(len(words), bool)
-            shared[at.as_py()] = True
-            starts = np.flatnonzero(shared[where])
-            if not len(starts):
-                continue
-            raw = b"".join(xxhash.xxh3_128_digest(b" ".join(words[s : s + WINDOW])) for s in starts)
+            joined = memoryview(b" ".join(words))
+            edge = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+            starts = _starts(runs.as_py())
+            raw = b"".join(xxhash.xxh3_128_digest(joined[edge[s] : edge[s + WINDOW] - 1]) for s in starts.tolist())
             pair = np.frombuffer(raw, "<i8").reshape(-1, 2)
-            m = len(starts)
-            yield _rows([pair[:, 0].copy(), pair[:, 1].copy(), pa.array([doc] * m, pa.int64()), pa.array([tie] * m, pa.int64()), starts.astype(np.int32)], ["k1", "k2", "doc_id", "tie", "at"])
+            parts.append((doc, tie, pair[:, 0], pair[:, 1], starts))
+        yield _batch(parts, ["k1", "k2", "at"], [np.int64, np.int64, np.int32])
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, n_words, n_removed = [], [], []
-        for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+        for text, copy, runs, firsts in zip(*[batch.column(c) for c in ("text", "copy", "runs", "firsts")], strict=True):
             words = words_of(text.as_py())
             edge = np.zeros(len(words) + 1, np.int64)
-            s = np.asarray(starts.as_py() or [], np.int64)
+            if copy.as_py():
+                s = np.arange(len(words) - WINDOW + 1)
+            else:
+                s = np.setdiff1d(_starts(runs.as_py()), np.asarray(firsts.as_py() or [], np.int64))
             np.add.at(edge, s, 1)
-            np.add.at(edge, np.minimum(s + WINDOW, len(words)), -1)
+            np.add.at(edge, s + WINDOW, -1)
             gone = np.cumsum(edge)[: len(words)] > 0
-            kept.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "surrogatepass"))
+            kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass"))
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
-        yield _rows([batch.column("_row"), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["_row", "kept", "n_words", "n_removed"])
+        columns = [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kept", "n_words", "n_removed"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the text's words that stay, joined by spaces), n_words, n_removed: one row per document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    found = materialize(base.mapInArrow(_anchor_rows, "anchor long, doc_id long, tie long, at int"), "anchors").distinct()
-    many = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    at = found.join(many, "anchor").groupBy("doc_id", "tie").agg(F.collect_list("at").alias("at"))
+    """doc_id, kept (the text's words that stay, joined by spaces), n_words, n_removed: one row per document.
+
+    Of equal texts only the first is searched: every window of the others also starts there. A window of a
+    shared anchor is removed unless it is the first of its words, so that only firsts, not repeats, are
+    sent back to their documents.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.xxhash64(F.lit(1), "text").alias("tie2"), "text")
+    ids = base.select("doc_id", "tie", "tie2")
+    low = ids.groupBy("tie", "tie2").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none"), F.count("*").alias("n"))
+    several = low.where("n > 1").select("tie", "tie2", F.when(~F.col("none"), F.col("low")).alias("low"), F.lit(True).alias("many"))
+    named = materialize(base.join(several, ["tie", "tie2"], "left").withColumn("copy", F.coalesce("many", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("low"))).drop("low", "many", "tie2"), "substrings")
+    search = named.where("not copy").select("doc_id", "tie", "text")
+    found = materialize(search.mapInArrow(_anchor_rows, "doc_id long, tie long, anchor long, at int, n int"), "anchors")
+    many = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    at = found.join(many, "anchor", "left_semi").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    at = materialize(at, "runs")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
-    texts = base.alias("d").join(at.alias("s"), same("d", "s")).select("d.doc_id", "d.tie", "text", "at")
-    seen = materialize(texts.mapInArrow(_window_rows, "k1 long, k2 long, doc_id long, tie long, at int"), "windows")
-    place = F.struct("doc_id", "tie", "at")
-    first = seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    again = seen.join(first, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
-    starts = again.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("starts"))
-    joined = base.alias("d").join(starts.alias("s"), same("d", "s"), "left").select(F.col("d.doc_id").alias("_row"), "text", "starts")
-    return joined.mapInArrow(_cut_rows, "_row long, kept string, n_words long, n_removed long").withColumnRenamed("_row", "doc_id")
+    texts = search.alias("d").join(at.alias("s"), same("d", "s")).select("d.doc_id", "d.tie", "text", "runs")
+    seen = texts.mapInArrow(_window_rows, "doc_id long, tie long, k1 long, k2 long, at int")
+    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie", "at")).alias("f")).select("f.*")
+    firsts = first.groupBy("doc_id", "tie").agg(F.collect_list("at").alias("firsts"))
+    both = at.alias("a").join(firsts.alias("f"), same("a", "f"), "left").select("a.doc_id", "a.tie", "runs", "firsts")
+    joined = named.alias("d").join(both.alias("s"), same("d", "s") & ~F.col("d.copy"), "left").select("d.doc_id", "text", "copy", "runs", "firsts")
+    return joined.mapInArrow(_cut_rows, "doc_id long, kept string, n_words long, n_removed long")
 
 
 #: DuckDB SQL for the query op9_substrings.
