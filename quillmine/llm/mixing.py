@@ -80,19 +80,19 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
 
     Columns are those of docs; n_chars, if there, is that of the text returned. Documents of size 0 go.
     """
-    chosen = mix(docs, weights, max_epochs).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "size", "taken", "k", "tie")
+    chosen = mix(docs, weights, max_epochs).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("tie").alias("_tie"))
     # Repeated rows of one id, source and text share a key: their counts are added up and dealt out evenly among them.
-    chosen = chosen.groupBy("_d", "_s", "tie").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    out = docs.withColumn("tie", F.xxhash64("text")).alias("d").join(
-        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._d")) & F.col("d.source").eqNullSafe(F.col("c._s")) & (F.col("d.tie") == F.col("c.tie"))
+    chosen = chosen.groupBy("_d", "_s", "_tie").agg(F.max("_size").alias("_size"), F.sum("_taken").alias("_taken"))
+    out = docs.withColumn("_x", F.xxhash64("text")).alias("d").join(
+        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._d")) & F.col("d.source").eqNullSafe(F.col("c._s")) & (F.col("_x") == F.col("c._tie"))
     )
-    same = Window.partitionBy("d.doc_id", "d.source", "d.tie")
+    same = Window.partitionBy("d.doc_id", "d.source", "_x")
     nth = F.row_number().over(same.orderBy(F.lit(1))) - 1
     out = out.withColumn("_n", nth).withColumn("_of", F.count(F.lit(1)).over(same))
-    per = F.floor(F.col("taken") / F.col("_of")) + F.when(F.col("_n") < F.col("taken") % F.col("_of"), 1).otherwise(0)
+    per = F.floor(F.col("_taken") / F.col("_of")) + F.when(F.col("_n") < F.col("_taken") % F.col("_of"), 1).otherwise(0)
     out = out.withColumn("_t", per)
-    copies = F.floor(F.col("_t") / F.col("size")).cast("int")
-    left = (F.col("_t") - copies * F.col("size")).cast("int")
+    copies = F.floor(F.col("_t") / F.col("_size")).cast("int")
+    left = (F.col("_t") - copies * F.col("_size")).cast("int")
     words = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     cut = F.array_join(F.slice(words, 1, F.greatest(left, F.lit(1))), "")
     out = out.withColumn("_cut", F.when(left > 0, cut)).withColumn(
