@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
+import quillmine.plans.extended  # noqa: F401
 import quillmine.plans.reference  # noqa: F401

@@ -1,9 +1,20 @@
-"""Loading of the parquet tables of a folder."""
+"""Loading of the parquet tables of a folder, and rewriting of intermediate ones."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes the rows to the folder that all executors share (a local one where none is named, as in tests) and reads them again."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmine"
+    path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
