@@ -5,14 +5,22 @@ reference fingerprints. Fingerprints within 4 bits agree in at least two of six
 pairs of blocks meet every link; a met pair is discarded if any coordinate of the pivot table differs by
 more than 4 (the triangle inequality), and survivors are verified bit by bit.
 
+near_dedup() has a setting of its own: sets of five-word shingles that are alike at a Jaccard similarity of
+at least 0.8. Such sets differ in about 15 of 100 bits of a SimHash, which no 64 bits can tell with a join, so
+that its fingerprints have 1088 bits. They meet in tables keyed by bits chosen at random, as many tables as
+meet 0.99 of the pairs at 0.8 (more of closer ones); what meets within a wide radius of bits is compared
+shingle by shingle.
+
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 equal texts, repeated rows and shared ids meet in one fingerprint; a null doc_id has a null component
 unless a row of its group has an id; an empty table gives no rows; other columns pass through
-near_dedup() untouched and are ignored elsewhere.
+near_dedup() untouched and are ignored elsewhere. near_dedup() takes texts alike up to white space and the
+case of ASCII letters, and all texts without words, as equal; it never links by id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, MapType, StructField, StructType
 
 from quillmine.llm.common import components, materialize
 
@@ -33,6 +42,13 @@ PIVOTS = tuple(xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in rang
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 16
 
+#: Setting of near_dedup(): words of a shingle, least Jaccard similarity, and the part of pairs just that similar that tables meet.
+NEAR_SHINGLE, NEAR_JACCARD, NEAR_RECALL = 5, 0.8, 0.99
+#: 64-bit words of its fingerprint; tables draw on all but the first, by which met pairs are sifted first.
+NEAR_WORDS = 17
+#: Bits that may differ in the first word and in all: 10 and 165 are expected at 0.8, 12 and 204 for sets of 4 and 5, and 32 and 544 by chance.
+NEAR_FIRST, NEAR_ALL = 22, 272
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
@@ -106,9 +122,120 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - NEAR_SHINGLE + 1)
+    h = np.full(n, min(len(words), NEAR_SHINGLE), np.uint64)
+    for i in range(min(len(words), NEAR_SHINGLE)):
+        h = _mix(h ^ w[i : i + n])
+    return np.unique(h)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, as NEAR_WORDS words."""
+    ones = np.zeros(64 * NEAR_WORDS, np.int64)
+    salts = _mix(np.arange(NEAR_WORDS, dtype=np.uint64))
+    for a in range(0, len(shingles), 255):  # sums of 255 bits fit a byte
+        h = _mix(shingles[a : a + 255, None] ^ salts)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")
+
+
+def near_tables(points: int) -> np.ndarray:
+    """The bits of each table's key: keys long enough that few points meet by chance, tables enough for NEAR_RECALL."""
+    width = min(56, max(8, math.ceil(math.log2(max(2, points))) - 1))
+    differ = math.acos(2 * NEAR_JACCARD / (1 + NEAR_JACCARD)) / math.pi
+    count = math.ceil(math.log(1 - NEAR_RECALL) / math.log1p(-((1 - differ) ** width)))
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    return np.stack([64 + rng.choice(64 * (NEAR_WORDS - 1), width, replace=False) for _ in range(count)])
+
+
+def _signed_rows(docs: DataFrame) -> DataFrame:
+    """The documents with _set (digest of the set of shingles), _size (of the set), _fp (its fingerprint)."""
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("_set", BinaryType()), StructField("_size", IntegerType()), StructField("_fp", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(at)]
+            new = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_set", "_size", "_fp"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _near_keys(points: DataFrame, tables: np.ndarray) -> DataFrame:
+    """A row of every point in every table: key, id, size, first word."""
+    powers = 1 << np.arange(tables.shape[1], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, NEAR_WORDS)
+            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+            first = pa.array(fps[:, 0].view("<i8"))
+            for i, which in enumerate(tables):
+                key = bits[:, which].astype(np.int64) @ powers
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), batch.column(0), batch.column(1), first], names=["n", "key", "id", "size", "first"])
+
+    return points.select("id", "size", "fp").mapInArrow(run, "n int, key long, id binary, size int, first long")
+
+
+def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of points (id, size, fp) whose texts (id, text) are at least NEAR_JACCARD alike."""
+    keys = _near_keys(points, near_tables(points.count()))
+    a, b = keys.alias("a"), keys.alias("b")
+    alike = (F.col("a.size") >= NEAR_JACCARD * F.col("b.size")) & (F.col("b.size") >= NEAR_JACCARD * F.col("a.size"))
+    sifted = alike & (F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= NEAR_FIRST)
+    met = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & sifted)
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    ends = [points.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, NEAR_WORDS) for i in (2, 3))
+            keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= NEAR_ALL
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    met = materialize(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b").mapInArrow(close, "a binary, b binary"), "near-met")
+    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    read = materialize(texts.join(needed, "id", "left_semi"), "near-texts")
+    pairs = met.join(read.toDF("a", "text_a"), "a").join(read.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = shingle_set(s.as_py()), shingle_set(t.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= NEAR_JACCARD * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(verify, "a binary, b binary")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the least of their group, once each; rows with a null id stay."""
-    keep = groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "_keep")
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of every group of near duplicates the row of the least id (a null one last, then by the row's hash), once."""
+    rows = materialize(_signed_rows(docs), "near-rows")
+    hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    rows = rows.withColumn("_row", F.xxhash64(*hashed))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    points = rows.groupBy(F.col("_set").alias("id")).agg(F.first("_size").alias("size"), F.first("_fp").alias("fp"), F.min(order).alias("least"))
+    points = materialize(points, "near-points")
+    # Any text of a set has its shingles; that of the least row is taken.
+    heads = points.select("id", F.col("least.row").alias("_row"))
+    texts = rows.select(F.col("_set").alias("id"), "_row", "text").join(heads, ["id", "_row"], "left_semi").dropDuplicates(["id", "_row"]).select("id", "text")
+    found = components(materialize(near_links(points.select("id", "size", "fp"), texts), "near-links"), "near-components")
+    named = points.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    keep = named.groupBy("component").agg(F.min(F.struct("least", "id")).alias("k")).select(F.col("k.id").alias("_set"), F.col("k.least.row").alias("_row"))
+    return rows.join(keep, ["_set", "_row"], "left_semi").dropDuplicates(["_set", "_row"]).select(*docs.columns)
