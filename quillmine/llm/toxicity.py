@@ -3,8 +3,9 @@
 Each class has discounted bigram counts that back off to its continuation counts, and these to the
 continuation counts that all documents share. A text's length-normalised log-likelihood ratio, over the
 whole text, at its peak and at its most telling words, goes through a small logistic calibration. Counts are
-kept in tables of fixed size by hash, which bounds what is broadcast; they cover all labelled documents and
-all texts.
+rows of a table under 64-bit hashes, which grows with the input and isn't broadcast: documents are dealt to
+chunks, the distinct keys of a chunk are joined to the table, and a chunk is scored with the rows found. They
+cover all labelled documents and all texts.
 
 Defined cases: a null or empty text, or one without words, scores as the base rate of label 1; labels of
 null are ignored, the greatest of several for a document counts; without any labels, or with one class
@@ -24,9 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmine.llm.common import materialize
+from quillmine.llm.common import materialize, power_of_two, union_all
 
-WORDS, PAIRS = 1 << 18, 1 << 20
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 FOLDS = 4
@@ -38,6 +38,12 @@ CALIBRATION_ROWS = 20_000
 PEAK, TELLING = 12, 3
 #: Counts that a word's class counts are weighed against.
 RARE = 5.0
+#: Bytes of text that are scored at once.
+CHUNK_BYTES = 16 << 20
+#: A count column of every fold and class, then one of all texts.
+COLUMNS = [f"c{i}" for i in range(2 * FOLDS)] + ["shared"]
+#: What a key counts: a pair; the pairs, and the kinds of pairs, that a word begins; the kinds that it ends.
+PAIR, LEFT, KINDS, RIGHT = range(4)
 _WORD = re.compile(r"\w+")
 _MEMO: dict[str, int] = {}
 
@@ -53,98 +59,138 @@ def words(text: str | None) -> np.ndarray:
     for i, w in enumerate(found):
         h = _MEMO.get(w)
         if h is None:
-            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % WORDS
+            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
             if len(_MEMO) < 200_000:
                 _MEMO[w] = h
         out[i] = h
     return out
 
 
-def _pairs(w: np.ndarray) -> np.ndarray:
-    """left * WORDS + right for the words in turn; word 0 also stands for the start."""
-    return np.concatenate([[0], w[:-1]]).astype(np.int64) * WORDS + w
+def _lefts(w: np.ndarray) -> np.ndarray:
+    """The word before each; word 0 stands for the start."""
+    return np.concatenate([np.zeros(1, np.int64), w[:-1]])
 
 
-def _bin(pair: np.ndarray) -> np.ndarray:
-    return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        groups: dict[tuple[int, int], list[np.ndarray]] = {}
-        for f, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            groups.setdefault((f, c), []).append(_pairs(words(text.as_py())))
-        for (f, c), parts in groups.items():
-            pair, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), f, np.int32)), pa.array(np.full(len(pair), c, np.int32)), pa.array(pair), pa.array(n)], names=["fold", "class", "pair", "n"])
+def _key(kind: int, word: np.ndarray, right: np.ndarray | int = 0) -> np.ndarray:
+    x = _mix(np.asarray(word).astype(np.uint64) + np.uint64((kind + 1) * 0x1E3779B97F4A7C15))
+    return _mix(x + np.asarray(right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, right, slot, n) of the pairs of texts (slot, text); the slot is null without a label."""
     for batch in batches:
-        parts = [_pairs(words(t.as_py())) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64))], names=["pair"])
+        ws = [words(t.as_py()) for t in batch.column(1)]
+        slot = np.repeat(np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64), [len(w) for w in ws])
+        if not len(slot):
+            continue
+        left, right = np.concatenate([_lefts(w) for w in ws if len(w)]), np.concatenate(ws)
+        _, at, n = np.unique(_key(PAIR, left, right) + slot, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(slot[at].astype(np.int32)), pa.array(n)], names=["left", "right", "slot", "n"])
+
+
+def _keyed(rows: DataFrame, kind: int) -> DataFrame:
+    """key and count columns of rows (left, right, count columns)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_key(kind, b.column(0).to_numpy(), b.column(1).to_numpy())), *b.columns[2:]], names=["key", *COLUMNS])
+
+    return rows.select("left", "right", *COLUMNS).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in COLUMNS))
 
 
 class Model:
-    """Count tables of the two classes, the shared continuation counts and the calibration."""
-
-    def __init__(self) -> None:
-        self.pair = np.zeros((FOLDS, 2, PAIRS), np.float32)
-        self.left = np.zeros((FOLDS, 2, WORDS), np.float32)
-        self.kinds = np.zeros((FOLDS, 2, WORDS), np.float32)
-        self.right = np.zeros((FOLDS, 2, WORDS), np.float32)
-        self.shared = np.zeros(WORDS, np.float64)
+    """The count table, its totals and the calibration."""
+
+    def __init__(self, table: DataFrame, totals: dict[str, int], rate: float):
+        self.table, self.totals, self.rate = table, totals, rate
         self.weights: np.ndarray | None = None
-        self.rate = 0.0
 
-    def seal(self, without: int | None = None) -> Sealed:
-        use = [f for f in range(FOLDS) if f != without]
-        return Sealed(*(t[use].sum(0) for t in (self.pair, self.left, self.kinds, self.right)), self.shared, self.weights, self.rate)
+    def gather(self, docs: DataFrame, judge, schema: StructType | str) -> DataFrame:
+        """judge(rows, Sealed's arguments) of every chunk of docs, with the counts that its texts ask for."""
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        dealt = docs.withColumn("_g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(power_of_two(size / CHUNK_BYTES))).cast("int"))
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                by: dict[int, list[np.ndarray]] = {}
+                for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    w = words(text.as_py())
+                    if len(w):
+                        left, each = _lefts(w), np.unique(w)
+                        by.setdefault(g, []).extend([_key(PAIR, left, w), *[_key(kind, each) for kind in (LEFT, KINDS, RIGHT)], *[_key(kind, left[:1]) for kind in (LEFT, KINDS)]])
+                for g, keys in by.items():
+                    keys = np.unique(np.concatenate(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), g, np.int32)), pa.array(keys)], names=["_g", "key"])
+
+        found = dealt.select("_g", "text").mapInArrow(asked, "_g int, key long").distinct().join(self.table, "key")
+        totals = self.totals
+
+        def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+            keys = counts["key"].to_numpy()
+            order = np.argsort(keys)
+            values = np.stack([counts[c].to_numpy()[order] for c in COLUMNS], 1) if len(keys) else np.zeros((0, len(COLUMNS)), np.int64)
+            return judge(rows.drop_columns(["_g"]), (keys[order], values, totals))
+
+        return dealt.groupBy("_g").cogroup(found.groupBy("_g")).applyInArrow(run, schema)
 
 
 class Sealed:
-    def __init__(self, pair, left, kinds, right, shared, weights, rate):
-        self.pair, self.left, self.kinds, self.right = pair, left, kinds, right
-        self.base = ((shared + 0.5) / (shared.sum() + 0.5 * WORDS)).astype(np.float32)
-        self.weights, self.rate = weights, rate
-        self.types = right.sum(1)
-        self.distinct = (right > 0).sum(1)
-
-    def _low(self, c: int, right: np.ndarray) -> np.ndarray:
+    """The counts of some keys, without those of one fold."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, totals: dict[str, int], without: int | None = None):
+        use = [[2 * f + c for f in range(FOLDS) if f != without] for c in range(2)]
+        self.keys, self.n = keys, np.stack([values[:, u].sum(1) for u in use]).astype(np.float64)
+        self.shared, self.totals = values[:, -1], totals
+        self.types = [sum(totals[COLUMNS[i]] for i in u) for u in use]
+        self.distinct = [totals[f"distinct_{without}_{c}"] for c in range(2)]
+
+    def _at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+    def _counts(self, key: np.ndarray) -> np.ndarray:
+        """Counts of the two classes, none for keys without a row."""
+        at, there = self._at(key)
+        return np.where(there, self.n[:, at], 0.0) if len(self.keys) else np.zeros((2, len(key)))
+
+    def _lows(self, right: np.ndarray) -> np.ndarray:
         """Continuation level: class counts, the shared ones, and a floor alike in both classes that calms rare words."""
-        base = self.base[right]
-        low = (np.maximum(self.right[c, right] - DISCOUNT, 0) + DISCOUNT * self.distinct[c] * base) / self.types[c] if self.types[c] else base
-        return low + RARE / max(1.0, float(self.types.sum()))
-
-    def _log(self, c: int, pair: np.ndarray) -> np.ndarray:
-        left, right = pair // WORDS, pair % WORDS
-        low = self._low(c, right)
-        seen = self.left[c, left]
+        key = _key(RIGHT, right)
+        at, there = self._at(key)
+        shared = np.where(there, self.shared[at], 0) if len(self.keys) else np.zeros(len(key))
+        base = (shared + 0.5) / (self.totals["shared"] + 0.5 * (self.totals["words"] + 1))
+        n, floor = self._counts(key), RARE / max(1.0, float(sum(self.types)))
+        return np.stack([((np.maximum(n[c] - DISCOUNT, 0) + DISCOUNT * self.distinct[c] * base) / self.types[c] if self.types[c] else base) + floor for c in range(2)])
+
+    def _logs(self, left: np.ndarray, right: np.ndarray, low: np.ndarray) -> np.ndarray:
+        seen = self._counts(_key(LEFT, left))
         there = np.maximum(seen, 1)
-        high = np.maximum(self.pair[c, _bin(pair)] - DISCOUNT, 0) / there + np.minimum(DISCOUNT * self.kinds[c, left] / there, 1) * low
+        high = np.maximum(self._counts(_key(PAIR, left, right)) - DISCOUNT, 0) / there + np.minimum(DISCOUNT * self._counts(_key(KINDS, left)) / there, 1) * low
         return np.log(np.maximum(np.where(seen > 0, high, low), 1e-30))
 
     def features(self, text: str | None) -> np.ndarray | None:
         w = words(text)
         if not len(w):
             return None
-        pair = _pairs(w)
-        ratio = self._log(1, pair) - self._log(0, pair)
+        low = self._lows(w)
+        log = self._logs(_lefts(w), w, low)
+        ratio = log[1] - log[0]
         sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
         span = min(PEAK, len(w))
         peak = (sums[span:] - sums[:-span]).max() / span
-        single = np.log(self._low(1, w) / self._low(0, w))
+        single = np.log(low[1] / low[0])
         n = min(TELLING, len(w))
         telling = np.partition(single, len(w) - n)[len(w) - n :].mean()
         return np.array([ratio.mean(), peak, single.mean(), telling, single.max()], np.float64)
 
-    def score(self, text: str | None) -> float:
-        x = self.features(text) if self.weights is not None else None
-        if x is None:
-            return float(self.rate)
-        z = float(self.weights[0] + x @ self.weights[1:])
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps; weights in the features' own units."""
@@ -159,68 +205,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mean / dev).sum()], w[1:] / dev])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> Sealed:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> Model:
     """Learns from the labelled documents outside the held-out fold, and shared counts from all texts."""
-    spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("c"))
     marks = marks.withColumn("f", fold(F.col("doc_id")))
     if held_out is not None:
         marks = marks.where(F.col("f") != held_out)
-    known = docs.select("doc_id", "text").where("doc_id is not null").join(marks, "doc_id").select("f", "c", "text", "doc_id")
-    counts = known.select("f", "c", "text").mapInArrow(_class_counts, "fold int, class int, pair long, n long").groupBy("fold", "class", "pair").agg(F.sum("n").alias("n"))
-    model = Model()
-    low, high = (F.col("pair") % WORDS).cast("int"), F.floor(F.col("pair") / WORDS).cast("int")
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_bin(b.column(2).to_numpy())), b.column(3)], names=["fold", "class", "bin", "n"])
-
-    # Rows of a bin are added up first: what comes to the driver is bounded by the tables' sizes.
+    texts = docs.select("doc_id", "text").join(marks, "doc_id", "left").select((2 * F.col("f") + F.col("c")).cast("int").alias("slot"), "text")
+    slots = COLUMNS[:-1]
+    counts = texts.mapInArrow(_count, "left long, right long, slot int, n long").groupBy("left", "right").agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(slots)])
     counts = materialize(counts, "toxic-counts")
-    for row in counts.select("fold", "class").distinct().collect():
-        f, c = row["fold"], row["class"]
-        part = counts.where((F.col("fold") == f) & (F.col("class") == c))
-        t = part.mapInArrow(binned, "fold int, class int, bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-        model.pair[f, c, t["bin"].to_numpy()] = t["n"]
-        t = part.groupBy(high.alias("w")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas()
-        model.left[f, c, t["w"].to_numpy()] = t["n"]
-        model.kinds[f, c, t["w"].to_numpy()] = t["k"]
-        t = part.groupBy(low.alias("w")).agg(F.count("*").alias("k")).toPandas()
-        model.right[f, c, t["w"].to_numpy()] = t["k"]
-    shared = docs.select("text").mapInArrow(_shared_pairs, "pair long").distinct().groupBy(low.alias("w")).agg(F.count("*").alias("k")).toPandas()
-    model.shared[shared["w"].to_numpy()] = shared["k"]
-    share = known.groupBy("c").agg(F.count("*").alias("n")).collect()
-    n = {r["c"]: r["n"] for r in share}
-    model.rate = n.get(1, 0) / max(1, sum(n.values()))
+    none = F.lit(0).cast("long")
+    kinds = [F.count_if(F.col(c) > 0).alias(c) for c in slots]
+    begun = counts.groupBy("left").agg(*[F.sum(c).alias(c) for c in slots]).select("left", none.alias("right"), *slots, none.alias("shared"))
+    begun_kinds = counts.groupBy("left").agg(*kinds).select("left", none.alias("right"), *slots, none.alias("shared"))
+    ended = counts.groupBy(F.col("right").alias("left")).agg(*kinds, F.count("*").alias("shared")).select("left", none.alias("right"), *slots, "shared")
+    ended = materialize(ended, "toxic-ended")
+    known_pairs = counts.where(" or ".join(f"{c} > 0" for c in slots)).withColumn("shared", none)
+    parts = [_keyed(rows, kind) for rows, kind in ((known_pairs, PAIR), (begun, LEFT), (begun_kinds, KINDS), (ended, RIGHT))]
+    left_out = [None, *range(FOLDS)]
+    some = {f"distinct_{without}_{c}": sum((F.col(f"c{2 * f + c}") for f in range(FOLDS) if f != without), F.lit(0)) > 0 for without in left_out for c in range(2)}
+    totals = ended.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), none).alias(c) for c in COLUMNS], *[F.count_if(x).alias(name) for name, x in some.items()]).first().asDict()
+    known = docs.select("doc_id", "text").where("doc_id is not null").join(marks, "doc_id").select("f", "c", "text", "doc_id")
+    n = {r["c"]: r["n"] for r in known.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    model = Model(materialize(union_all(parts), "toxic-model"), totals, n.get(1, 0) / max(1, sum(n.values())))
     if len(n) < 2:
-        return model.seal()
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).drop("doc_id")
-    folds = spark.sparkContext.broadcast({f: model.seal(f) for f in range(FOLDS) if f != held_out})
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for f, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = folds.value[f].features(text.as_py())
-                if x is not None:
-                    out.append({"c": c, "x": x.tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("c", pa.int32()), ("x", pa.list_(pa.float64()))]))
-
-    rows = sample.mapInArrow(judged, "c int, x array<double>").toPandas()
+        return model
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "toxic-sample")
+
+    def judge(rows: pa.Table, found: tuple) -> pa.Table:
+        sealed: dict[int, Sealed] = {}
+        out = []
+        for f, c, text in zip(rows["f"].to_pylist(), rows["c"].to_pylist(), rows["text"], strict=True):
+            if f not in sealed:
+                sealed[f] = Sealed(*found, f)
+            x = sealed[f].features(text.as_py())
+            if x is not None:
+                out.append({"c": c, "x": x.tolist()})
+        return pa.Table.from_pylist(out, pa.schema([("c", pa.int32()), ("x", pa.list_(pa.float64()))]))
+
+    rows = model.gather(sample, judge, "c int, x array<double>").toPandas()
     if rows["c"].nunique() == 2:
         model.weights = _logistic(np.stack(rows["x"].to_numpy()), rows["c"].to_numpy(float))
-    return model.seal()
+    return model
 
 
-def score(docs: DataFrame, model: Sealed) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a column toxic_score."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    if model.weights is None:
+        return docs.withColumn("toxic_score", F.lit(float(model.rate)))
+    weights, rate = model.weights, float(model.rate)
     schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = pa.array([shipped.value.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, p], names=[*batch.schema.names, "toxic_score"])
+    def judge(rows: pa.Table, found: tuple) -> pa.Table:
+        sealed, out = Sealed(*found), []
+        for text in rows["text"]:
+            x = sealed.features(text.as_py())
+            out.append(rate if x is None else float(1 / (1 + np.exp(-np.clip(float(weights[0] + x @ weights[1:]), -40, 40)))))
+        return rows.append_column("toxic_score", pa.array(out, pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return model.gather(docs, judge, schema)
