@@ -3,8 +3,7 @@
 Documents are tokenised in Arrow batches, a separator id ends each, and overlong ones are first cut into
 full windows. The remaining pieces are dealt to groups by hash; in a group they are placed longest first,
 and a segment tree indexed by remaining capacity finds the tightest open window. A group is one task's
-bounded share, so the number of groups, not their size, grows with the corpus; ids don't travel unless
-they are asked for. Windows left loose at the end of a group are packed once more across groups.
+bounded share, so the number of groups, not their size, grows with the corpus. Windows left loose at the end of a group are packed once more across groups.
 
 Defined cases: a null or empty text is the separator alone; texts of any length are cut, never shortened;
 repeated rows and equal ids are packed as rows of their own; an empty table gives no rows; other columns
@@ -77,8 +76,8 @@ class Encoder:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most window ids, in order: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (bytes)."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
+    """Pieces of at most window ids, in order: doc_id, start, length, ids_crc32, doc_tokens and, unless told otherwise, ids (little-endian 32-bit bytes)."""
     path = tokenizer or default_tokenizer()
     end = np.asarray([separator], "<u4").tobytes()
 
@@ -151,7 +150,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
     """Rows of pieces() with sequence_id and offset.
 
     A sequence is its pieces in the order of offset, padded to window; a last piece of a power of two
