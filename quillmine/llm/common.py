@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Bounds of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: texts may be long, so that a batch is bounded by bytes rather than by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Arrow batches of the session end at BATCH_BYTES or BATCH_ROWS, whichever comes first; a longer row is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,28 +28,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, f, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() with bounded batches."""
+    prepare(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one (tests) gets a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmine"
+    """The folder that driver and executors share; a local session without one (tests) gets a local one, a cluster none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "/tmp/checkpoints/quillmine"
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    where, system = _hadoop(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes the rows to the shared folder and reads them again, so that a lost executor loses nothing."""
     spark = df.sparkSession
+    prepare(spark)
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that fresh_path() named."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that materialize() made and nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where, system = _hadoop(df.sparkSession, path)
+        system.delete(where, True)
 
 
 def power_of_two(least: float, floor: int = 1) -> int:

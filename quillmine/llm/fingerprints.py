@@ -5,12 +5,14 @@ parts merge to the sketch of the whole, and estimate resemblance, containment an
 
 Defined cases: a null text is empty; a text of fewer than five words is one shingle of all its words, and
 one without words is the shingle of no words; equal texts have equal sketches; rows that share a doc_id
-follow each other by text hash, null ids come first; an empty table gives no rows; a single document's
-next document is itself; other columns are ignored.
+follow each other by text hash, null ids come first (rows alike in both are alike in every result); an
+empty table gives no rows; a single document's next document is itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ K = 128
 SHINGLE = 5
 #: Rows of a range of neighbouring ids on average.
 RANGE_ROWS = 4096
-LEAST_RANGES = 64
+#: Ranges at least and at most; beyond, ranges hold more rows.
+LEAST_RANGES, MAX_RANGES = 64, 1 << 17
 #: Quantiles of doc_id that bound the ranges; each is split evenly where more ranges are needed.
 QUANTILES = 512
 
@@ -71,54 +74,77 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Adds next_<column>: the values of the document with the next id, after the last those of the first.
+def _bounds(ids: DataFrame) -> tuple[list[int], list[int], int]:
+    """Bounds of the doc_id ranges, the number of tie ranges of each, and that of the null ids.
 
-    Ids are dealt to ranges by quantiles; each range gets a copy of the first row of the range after it.
+    The bounds are quantiles; one that stands for several quantiles is a hot id, whose rows are split by their tie.
     """
-    carried = docs.columns
-    rows = docs.withColumn("tie", F.xxhash64("text"))
-    facts = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()
-    bounds = sorted(set(facts["q"] or [0]))
-    parts = max(1, power_of_two(facts["n"] / RANGE_ROWS, LEAST_RANGES) // len(bounds))
-    at = F.lit(0)
-    lo, hi = bounds, bounds[1:] + [bounds[-1] + 1]
-    # Position among the bounds, by binary search over literals.
-    table = F.lit(bounds)
+    facts = ids.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()
+    times = Counter(facts["q"] or [0])
+    wanted = min(MAX_RANGES, power_of_two(facts["n"] / RANGE_ROWS, LEAST_RANGES))
+    per = max(1, wanted // QUANTILES)
+    return sorted(times), [per * times[b] for b in sorted(times)], max(1, round(wanted * facts["none"] / max(1, facts["n"])))
+
+
+def _ranged(rows: DataFrame, bounds: list[int], parts: list[int], none: int) -> DataFrame:
+    """Adds r_: the number of the row's range in the order of (doc_id, tie), nulls first."""
 
     def find(a: int, b: int) -> Column:
+        """Position among the bounds, by binary search over literals."""
         if b - a == 1:
             return F.lit(a)
         m = (a + b) // 2
         return F.when(F.col("doc_id") >= bounds[m], find(m, b)).otherwise(find(a, m))
 
-    at = F.when(F.col("doc_id").isNull() | (F.col("doc_id") < bounds[0]), F.lit(-1)).otherwise(find(0, len(bounds)))
-    rows = rows.withColumn("_q", at)
-    left = F.element_at(table, F.col("_q") + 1)
-    width = F.element_at(F.lit([max(1, b - a) for a, b in zip(lo, hi, strict=True)]), F.col("_q") + 1)
-    inner = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - left) / width * parts)).cast("long")
-    rows = rows.withColumn("_b", F.when(F.col("_q") < 0, F.lit(-1)).otherwise(F.col("_q").cast("long") * parts + inner)).drop("_q")
-    key = F.struct("doc_id", "tie")
-    firsts = rows.groupBy("_b").agg(F.min(key).alias("f"))
-    order = Window.orderBy("_b")
-    before = F.lag("_b").over(order)
-    final = F.max("_b").over(Window.partitionBy())
-    # One row per range: its number is bounded by the number of ranges, not of documents.
-    firsts = firsts.select(F.coalesce(before, final).alias("_to"), F.col("_b").alias("_from"), F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_tie"))
-    heads = rows.join(firsts, (F.col("_b") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie")))
-    heads = heads.select(*carried, "tie", F.col("_to").alias("_b"), F.lit(1).alias("_head"))
-    both = rows.withColumn("_head", F.lit(0)).unionByName(heads)
-    within = Window.partitionBy("_b").orderBy("_head", F.col("doc_id").asc_nulls_first(), "tie")
-    out = both.select("*", *[F.lead(c).over(within).alias(f"next_{c}") for c in carried])
-    return out.where("_head = 0").drop("_head", "_b", "tie")
+    place = (F.col("tie_").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    slot = lambda share, n: F.greatest(F.lit(0), F.least(n - 1, F.floor(share * n))).cast("long")
+    rows = rows.withColumn("q_", find(0, len(bounds)) + 1)  # a column of its own, so that it is computed once
+    at = F.col("q_")
+    widths = [max(1, b - a) for a, b in zip(bounds, bounds[1:] + [bounds[-1] + 1], strict=True)]
+    # Ranges of a bound: its own id, split by tie, then the ids above it up to the next bound.
+    first = [none + 2 * sum(parts[:i]) for i in range(len(bounds))]
+    low, width, n, base = (F.element_at(F.lit(x), at) for x in (bounds, widths, parts, first))
+    inner = F.when(F.col("doc_id") <= low, slot(place, n)).otherwise(n + slot((F.col("doc_id") - low) / width, n))
+    return rows.withColumn("r_", F.when(F.col("doc_id").isNull(), slot(place, F.lit(none))).otherwise(base + inner)).drop("q_")
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next_text: the text of the document with the next id, after the last that of the first.
+
+    A pass over the ids finds the first row of every range; then texts move once, to their range, which also
+    gets a copy of the first row of the range after it. There are at most MAX_RANGES ranges, so that the
+    table of firsts that is broadcast has at most as many rows; ranges grow beyond.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("tie_", F.xxhash64("text"))
+    rows = _ranged(base, *_bounds(base.select("doc_id")))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie_")
+    order = Window.orderBy("r_")
+    # One row per range, so one task holds at most MAX_RANGES rows.
+    firsts = rows.groupBy("r_").agg(F.min(key).alias("f")).select(
+        F.coalesce(F.lag("r_").over(order), F.max("r_").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to_"), F.col("r_").alias("from_"), F.col("f.doc_id").alias("id_"), F.col("f.tie_").alias("t_")
+    )
+    found = rows.join(F.broadcast(firsts), (F.col("r_") == F.col("from_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tie_") == F.col("t_")), "left")
+    mine = F.struct(F.col("r_").alias("to"), F.lit(False).alias("head"))
+    head = F.struct(F.col("to_").alias("to"), F.lit(True).alias("head"))
+    both = found.select("doc_id", "text", "tie_", F.explode(F.when(F.col("to_").isNull(), F.array(mine)).otherwise(F.array(mine, head))).alias("p_"))
+    both = both.select("doc_id", "text", "tie_", F.col("p_.to").alias("r_"), F.col("p_.head").alias("head_"))
+    within = Window.partitionBy("r_").orderBy("head_", F.col("doc_id").asc_nulls_first(), "tie_")
+    return both.withColumn("next_text", F.lead("text").over(within)).where("not head_").select("doc_id", "text", "next_text")
 
 
 def compare_edited(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """Each document's sketch beside those of its edited text and of the next document."""
-    base = sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), k=k, shingle=shingle)
-    rows = neighbours(base).withColumn("n_chars", F.length("text").cast("long"))
+    """Each document's sketch beside those of its edited text and of the next document.
+
+    near_edited and near_next are resemblances; contained_edited is the part of the document's shingles that
+    its edited text holds, n_distinct the estimate of its distinct shingles.
+    """
+    rows = neighbours(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = (F.col("n_chars") - half).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), half))
-    rows = sketch(rows.withColumn("edited", edited), "edited", "edited_sketch", k, shingle)
-    return rows.withColumn("near_edited", resemblance(F.col("sketch"), F.col("edited_sketch"), k)).withColumn("near_next", resemblance(F.col("sketch"), F.col("next_sketch"), k))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), half)))
+    for text, out in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
+        rows = _sketched(rows, text, out, k, shingle)
+    a, b = F.col("sketch"), F.col("edited_sketch")
+    rows = rows.withColumn("near_edited", resemblance(a, b, k)).withColumn("near_next", resemblance(a, F.col("next_sketch"), k))
+    return rows.withColumn("contained_edited", containment(a, b, k)).withColumn("n_distinct", distinct_shingles(a, k))

@@ -45,7 +45,7 @@ ORACLE_SQL["op8_warc"] = warc.SQL
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
     sketches = [fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint")]
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *sketches, "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *sketches, "near_edited", "near_next", "contained_edited", "n_distinct")
 
 
 @_query
