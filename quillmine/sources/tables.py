@@ -14,7 +14,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rewritten(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes the rows to the folder that all executors share (a local one where none is named, as in tests) and reads them again."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmine"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or "/tmp/checkpoints/quillmine"
     path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
