@@ -9,8 +9,9 @@ Of records with equal payloads of at least REVISIT_BYTES the one with the smalle
 response and the others revisit it; smaller ones are all responses.
 
 Defined cases: a null payload is empty; a null page_id makes a record without the page-id field and sorts
-last; a null url is written as about:blank and read back as null; repeated rows each get records of their
-own, all but one being revisits where the payload is long enough; an empty table gives an archive without
+last; a null url is written as about:blank and read back as null; repeated rows (alike in
+page_id, url and payload) each get records of their own and are alike: all responses, or all revisits of the
+first; an empty table gives an archive without
 records; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import fresh_path
+from quillmine.llm.common import fresh_path, mapped
 
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -82,12 +83,12 @@ def write(pages: DataFrame, path: str) -> None:
     records(pages).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
 
 
-_FIELDS = "type string, record_id string, concurrent_to string, target_uri string, page_id long, refers_to long, payload_digest string, headers map<string,string>, block binary"
+_FIELDS = "type string, record_id string, concurrent_to string, target_uri string, page_id long, refers_to long, payload_digest string, headers map<string,string>, http string, block binary"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of whole archives, line by line; a record is held until its Content-Length is reached."""
-    schema = pa.schema([(n, pa.string()) for n in ("type", "record_id", "concurrent_to", "target_uri")] + [("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+    schema = pa.schema([(n, pa.string()) for n in ("type", "record_id", "concurrent_to", "target_uri")] + [("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http", pa.string()), ("block", pa.binary())])
     head: dict[str, str] | None = None
     body: list[bytes] = []
     need = got = 0
@@ -98,7 +99,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(block: bytes) -> None:
         h = head or {}
         number = lambda k: int(h[k]) if k in h else None
-        out.append({"type": h.get("WARC-Type"), "record_id": h.get("WARC-Record-ID"), "concurrent_to": h.get("WARC-Concurrent-To"), "target_uri": h.get("WARC-Target-URI"), "page_id": number("X-Page-ID"), "refers_to": number("X-Refers-To-Page"), "payload_digest": h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, "headers": list(h.items()), "block": block})
+        http = None
+        if h.get("Content-Type", "").startswith("application/http"):
+            top, _, block = block.partition(b"\r\n\r\n")
+            http = top.decode("utf-8", "replace")
+        out.append({"type": h.get("WARC-Type"), "record_id": h.get("WARC-Record-ID"), "concurrent_to": h.get("WARC-Concurrent-To"), "target_uri": h.get("WARC-Target-URI"), "page_id": number("X-Page-ID"), "refers_to": number("X-Refers-To-Page"), "payload_digest": h.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, "headers": list(h.items()), "http": http, "block": block})
 
     for batch in batches:
         for value in batch.column(0):
@@ -127,9 +132,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder of archives: type, ids, target, digest, all headers and the block."""
+    """The records of a folder of archives: type, ids, target, digest, all headers, and the block.
+
+    Of HTTP records, http is the head (found on bytes) and block what follows it.
+    """
     lines = spark.read.option("lineSep", EOL).text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(_parsed, _FIELDS)
+    return mapped(lines, _parsed, _FIELDS)
 
 
 def transactions(found: DataFrame, payload: bool = True) -> DataFrame:
@@ -139,19 +147,14 @@ def transactions(found: DataFrame, payload: bool = True) -> DataFrame:
     bytes if payload is false, so that they don't move). A capture without a request or metadata record has
     null there; several are all kept, in the order of their ids.
     """
-    head = F.expr("position(X'0D0A0D0A', block)")
-    main = found.where(F.col("type").isin("response", "revisit")).select(
-        "*",
-        F.expr("CAST(substring(block, 1, position(X'0D0A0D0A', block) - 1) AS STRING)").alias("http"),
-        F.when(head > 0, F.expr("substring(block, position(X'0D0A0D0A', block) + 4)")).otherwise(F.col("block")).alias("payload"),
-    )
+    main = found.where(F.col("type").isin("response", "revisit")).withColumnRenamed("block", "payload")
     read_back = [F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256")]
     main = main.select(
         F.col("record_id").alias("capture_id"), "page_id", "target_uri",
         F.struct("type", "record_id", "payload_digest", "refers_to", "http", *read_back, *(["payload"] if payload else [])).alias("response"),
     )
     side = found.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).select(
-        F.col("concurrent_to").alias("capture_id"), "type", F.struct("record_id", F.col("block").cast("string").alias("block")).alias("r")
+        F.col("concurrent_to").alias("capture_id"), "type", F.struct("record_id", "http", F.col("block").cast("string").alias("block")).alias("r")
     )
     pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("r")))).alias(kind)
     return main.join(side.groupBy("capture_id").agg(pick("request"), pick("metadata")), "capture_id", "left")
@@ -166,15 +169,21 @@ def captures(pages: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def digest_rows(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (of the payload read, or as a revisit states them), record_type, refers_to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, requests, metadata_records of assembled captures.
+
+    A response's length and digest are those of the payload read; a revisit has no payload, so its length is
+    the one that its metadata record states and its digest that of its header. A response whose metadata
+    record states another length than was read has a null length.
+    """
     r = F.col("response")
     full = r["type"] == "response"
-    stated = F.regexp_extract(r["http"], r"Content-Length: (\d+)", 1).cast("long")
+    stated = F.regexp_extract(F.col("metadata")[0]["block"], r"payload-bytes: (\d+)", 1).cast("long")
     return found.select(
         "page_id",
-        F.when(full, r["payload_bytes"]).otherwise(stated).alias("payload_bytes"),
+        F.when(~full | (stated == r["payload_bytes"]), stated).alias("payload_bytes"),
         F.when(full, r["payload_sha256"]).otherwise(r["payload_digest"]).alias("payload_digest"),
         r["type"].alias("record_type"), r["refers_to"].alias("refers_to"),
+        F.greatest(F.size("request"), F.lit(0)).alias("requests"), F.greatest(F.size("metadata"), F.lit(0)).alias("metadata_records"),
     )
 
 
@@ -186,6 +195,6 @@ WITH p AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to, 1 AS requests, 1 AS metadata_records
 FROM f
 """
