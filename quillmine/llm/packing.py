@@ -12,7 +12,6 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import materialize, power_of_two
+from quillmine.llm.common import mapped, materialize, power_of_two
 
 WINDOW = 4096
 SEPARATOR = 2
@@ -73,11 +72,11 @@ class Encoder:
         return b"".join(found)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
-    """Pieces of at most window ids, in order: doc_id, start, length, ids_crc32, doc_tokens and, unless told otherwise, ids (little-endian 32-bit bytes)."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
+    """Pieces of at most window ids, in order: doc_id, start, length, doc_tokens, ids (little-endian 32-bit bytes)."""
     path = tokenizer or default_tokenizer()
     end = np.asarray([separator], "<u4").tobytes()
 
@@ -90,13 +89,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
                 n = len(ids) // 4
                 for a in range(0, n, window):
                     part = ids[4 * a : 4 * (a + window)]
-                    out.append((doc, a, len(part) // 4, zlib.crc32(part), n, *([part] if with_ids else [])))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names=names)
+                    out.append((doc, a, len(part) // 4, n, part))
+            kinds = [*[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
 class OpenWindows:
@@ -150,17 +147,18 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """Rows of pieces() with sequence_id and offset.
 
     A sequence is its pieces in the order of offset, padded to window; a last piece of a power of two
-    needs no padding.
+    needs no padding. Pieces are written under numbers first; only numbers and lengths are placed, and the
+    ids move once, to meet their places. The same table read in the same splits gives the same sequences.
     """
-    groups = power_of_two(docs.count() / GROUP_PIECES, LEAST_GROUPS)
+    cut = materialize(pieces(docs, tokenizer, window, separator).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    groups = power_of_two(cut.count() / GROUP_PIECES, LEAST_GROUPS)
     again = max(1, groups // GROUPS_AGAIN)
-    cut = materialize(pieces(docs, tokenizer, window, separator, with_ids), "pieces")
-    cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
-    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+    dealt = cut.select("piece", "doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start", "piece"), F.lit(groups)).cast("int").alias("g"))
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("piece", "ascending")]
 
     def place(part: pa.Table, of: int, last: bool) -> pa.Table:
         part = part.sort_by(order)
@@ -172,8 +170,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
             part = part.append_column("loose", pa.array(loose[which]))
         return part.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(at))
 
-    base = PIECES + (", ids binary" if with_ids else "") + ", g int"
-    first = cut.groupBy("g").applyInArrow(lambda part: place(part, groups, False), base + ", loose boolean, sequence_id long, offset long")
+    base = "piece long, doc_id long, start long, length long, g int"
+    first = materialize(dealt.groupBy("g").applyInArrow(lambda part: place(part, groups, False), base + ", loose boolean, sequence_id long, offset long"), "places")
     rest = first.where("loose").drop("loose", "sequence_id", "offset").withColumn("g", (F.col("g") % again).cast("int"))
     second = rest.groupBy("g").applyInArrow(lambda part: place(part, again, True), base + ", sequence_id long, offset long")
-    return first.where("not loose").drop("loose").unionByName(second).drop("g")
+    placed = first.where("not loose").drop("loose").unionByName(second).select("piece", "sequence_id", "offset")
+    return cut.join(placed, "piece").drop("piece")
+
+
+def sequences(packed: DataFrame, window: int = WINDOW, padding: int = SEPARATOR) -> DataFrame:
+    """(sequence_id, ids, length) of the rows of pack(): the pieces' ids in the order of offset, padded to window unless length is a power of two."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("length"))
+    ids = F.aggregate("p", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    pad = F.lit(np.asarray([padding], "<u4").tobytes().hex())
+    short = (window - F.col("length")).cast("int")
+    exact = F.col("length").bitwiseAND(F.col("length") - 1) == 0
+    return parts.select("sequence_id", F.when(exact, ids).otherwise(F.concat(ids, F.unhex(F.repeat(pad, short)))).alias("ids"), "length")
