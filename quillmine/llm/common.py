@@ -73,6 +73,14 @@ def discard(df: DataFrame) -> None:
         system.delete(where, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def power_of_two(least: float, floor: int = 1) -> int:
     n = floor
     while n < least:

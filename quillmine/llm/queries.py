@@ -70,11 +70,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["base"])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def count(kind: str):
-        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def count(spans, kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    kinds = [count(k) for k in pii.KINDS]
-    return rows.select("doc_id", *kinds, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii_spans")).alias("spans"))
+    kinds = [count(base, k) for k in pii.KINDS]
+    added = [count("pii_spans", k) for k in pii.ADDED]
+    added.append(F.size("pii_spans").cast("long").alias("n_found"))
+    return rows.select("doc_id", *kinds, *added, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii_spans")).alias("spans"))
 
 
 @_query
