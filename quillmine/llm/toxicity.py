@@ -1,51 +1,64 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Each class has discounted bigram counts that back off to its continuation counts, and these to the
-continuation counts that all documents share. A text's length-normalised log-likelihood ratio, over the
-whole text, at its peak and at its most telling words, goes through a small logistic calibration. Counts are
-rows of a table under 64-bit hashes, which grows with the input and isn't broadcast: documents are dealt to
-chunks, the distinct keys of a chunk are joined to the table, and a chunk is scored with the rows found. They
-cover all labelled documents and all texts.
+continuation counts that both classes share. The length-normalised log-likelihoods of both models are
+compared over the whole text and over its likeliest stretches of a few lengths; a small logistic calibration
+of these ratios is the score. Counts cover all labelled documents outside the held-out fold.
+
+The model is a table of 64-bit keys in buckets, which grows with the input and isn't broadcast. Documents
+are gathered to chunks; each asks the buckets for the keys of its words and pairs, and is scored with the
+answers. Chunks and questions leave the scan in one exchange, each chunk as one compressed block.
 
 Defined cases: a null or empty text, or one without words, scores as the base rate of label 1; labels of
 null are ignored, the greatest of several for a document counts; without any labels, or with one class
 only, every score is the share of label 1 (0 without labels); very long texts are scored whole; rows that
-repeat are scored each; an empty table gives no rows; other columns pass through.
+repeat are scored each; an empty table gives no rows; other columns pass through, one of the score's name is
+replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmine.llm.common import materialize, power_of_two, union_all
+from quillmine.llm.common import discard, mapped, materialize, power_of_two
 
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.3
-#: The calibration is fitted on at most so many labelled rows, those of the least hashes.
+#: The calibration is fitted on about so many labelled rows at most, those of the least hashes.
 CALIBRATION_ROWS = 20_000
-#: Words over which a peak is sought; most telling words that are averaged.
-PEAK, TELLING = 12, 3
+#: Words of the stretches over which the likeliest is sought.
+STRETCHES = (12, 3, 1)
 #: Counts that a word's class counts are weighed against.
 RARE = 5.0
-#: Bytes of text that are scored at once.
-CHUNK_BYTES = 16 << 20
-#: A count column of every fold and class, then one of all texts.
-COLUMNS = [f"c{i}" for i in range(2 * FOLDS)] + ["shared"]
-#: What a key counts: a pair; the pairs, and the kinds of pairs, that a word begins; the kinds that it ends.
-PAIR, LEFT, KINDS, RIGHT = range(4)
+#: Bytes of text of a chunk; a longer text is a chunk of its own.
+CHUNK_BYTES = 32 << 20
+#: Keys of a bucket on average, buckets at least, and rows that a task gathers before it packs them.
+BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 400_000
+#: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
+MARK_BITS = 24
+#: Labels up to so many are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+#: A count of every fold and class.
+SLOTS = [f"c{i}" for i in range(2 * FOLDS)]
+#: Values of a key. Pair: its counts in the first columns. Word: pairs and kinds of pairs that it begins, kinds that it ends, in all slots, and kinds that it ends in both classes together.
+WIDTH = 3 * len(SLOTS) + 1
+PAIR, WORD = range(2)
 _WORD = re.compile(r"\w+")
 _MEMO: dict[str, int] = {}
+#: Destinations of chunks lie above those of buckets.
+CHUNKS_FROM = 1 << 40
 
 
 def fold(doc_id: Column) -> Column:
@@ -83,10 +96,10 @@ def _key(kind: int, word: np.ndarray, right: np.ndarray | int = 0) -> np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(left, right, slot, n) of the pairs of texts (slot, text); the slot is null without a label."""
+    """(left, right, slot, n) of the pairs of texts (slot, text)."""
     for batch in batches:
         ws = [words(t.as_py()) for t in batch.column(1)]
-        slot = np.repeat(np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64), [len(w) for w in ws])
+        slot = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(w) for w in ws])
         if not len(slot):
             continue
         left, right = np.concatenate([_lefts(w) for w in ws if len(w)]), np.concatenate(ws)
@@ -94,102 +107,215 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(slot[at].astype(np.int32)), pa.array(n)], names=["left", "right", "slot", "n"])
 
 
-def _keyed(rows: DataFrame, kind: int) -> DataFrame:
-    """key and count columns of rows (left, right, count columns)."""
+def _squeeze(a: np.ndarray) -> bytes:
+    """Bytes of an array, like bytes of all numbers together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+def _stretch(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    """Ascending keys (of either sign, as unsigned ones), as steps."""
+    return _squeeze(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _keys_in(data: bytes) -> np.ndarray:
+    return np.cumsum(_stretch(data, np.uint64), dtype=np.uint64)
+
+
+def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending unsigned keys, the buckets that hold some and where each begins (and the last ends)."""
+    of = (keys >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+    found, first = np.unique(of, return_index=True)
+    return found, np.append(first, len(keys))
+
+
+def _marks(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The MARK_BITS bits of keys after those that tell the bucket."""
+    return (keys << np.uint64(buckets.bit_length() - 1)) >> np.uint64(64 - MARK_BITS)
+
+
+def _packing(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (kind, left, right, values) to packed rows (to, keys, values) of the buckets."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, values = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found, first = _bucketed(keys, buckets)
+        parts = [(_keys_out(keys[a:b]), _squeeze(values[a:b].T)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["to", "keys", "vals"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_key(kind, b.column(0).to_numpy(), b.column(1).to_numpy())), *b.columns[2:]], names=["key", *COLUMNS])
-
-    return rows.select("left", "right", *COLUMNS).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in COLUMNS))
+            kind, left, right = (b.column(i).to_numpy() for i in range(3))
+            keys = np.where(kind == PAIR, _key(PAIR, left, right), _key(WORD, left)).view(np.uint64)
+            values = np.stack([b.column(3 + i).to_numpy() for i in range(WIDTH)], 1).astype(np.int64)
+            held.append((keys, values))
+            n += len(keys)
+            if n >= PACK_ROWS:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of packed rows, ascending, and their values."""
+    parts = [(_keys_in(k), _stretch(v, np.int64).reshape(WIDTH, -1).T) for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros((0, WIDTH), np.int64)
+    keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+class Asked:
+    """The words of a chunk's texts, end to end, and the keys that they ask for, ascending."""
+
+    def __init__(self, texts: list, places: bool = False):
+        ws = [words(t) for t in texts]
+        self.base = np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64)
+        w = np.concatenate([*ws, np.zeros(0, np.int64)])
+        left = _lefts(w)
+        left[self.base[:-1][np.diff(self.base) > 0]] = 0  # a text's first word follows the start
+        pairs = _key(PAIR, left, w).view(np.uint64)
+        each = np.unique(np.append(w, 0))
+        names = _key(WORD, each).view(np.uint64)
+        if not places:
+            self.keys = np.unique(np.concatenate([np.unique(pairs), names])) if len(w) else np.zeros(0, np.uint64)
+            return
+        own, inverse = np.unique(pairs, return_inverse=True)
+        self.keys = np.unique(np.concatenate([own, names])) if len(w) else np.zeros(0, np.uint64)
+        spot = np.searchsorted(self.keys, names)
+        # Places among the keys of every word's pair, of itself and of the word before it.
+        self.pair = np.searchsorted(self.keys, own)[inverse]
+        self.word = spot[np.searchsorted(each, w)] if len(w) else w
+        self.left = spot[np.searchsorted(each, left)] if len(w) else w
 
 
 class Model:
-    """The count table, its totals and the calibration."""
+    """The packed count table, its totals and the calibration."""
 
-    def __init__(self, table: DataFrame, totals: dict[str, int], rate: float):
-        self.table, self.totals, self.rate = table, totals, rate
+    def __init__(self, table: DataFrame, buckets: int, totals: dict[str, int], rate: float):
+        self.table, self.buckets, self.totals, self.rate = table, buckets, totals, rate
         self.weights: np.ndarray | None = None
 
-    def gather(self, docs: DataFrame, judge, schema: StructType | str) -> DataFrame:
-        """judge(rows, Sealed's arguments) of every chunk of docs, with the counts that its texts ask for."""
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        dealt = docs.withColumn("_g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(power_of_two(size / CHUNK_BYTES))).cast("int"))
-
-        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(self, docs: DataFrame, judge: Callable, schema: StructType | str, folds: bool = False) -> DataFrame:
+        """judge(rows, Asked, values) of every chunk of docs, values being those of the keys that the texts ask for.
+
+        Values are summed over the folds unless these are asked for.
+        """
+        buckets, at = self.buckets, docs.columns.index("text")
+        width = WIDTH if folds else 7
+
+        def question(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            keys = Asked(rows.column(at).to_pylist()).keys
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            block = sink.getvalue().to_pybytes()
+            chunk = CHUNKS_FROM + (xxhash.xxh3_64_intdigest(block) >> 2)
+            found, first = _bucketed(keys, buckets)
+            parts = [_keys_out(np.unique(_marks(keys[a:b], buckets))) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] if len(keys) else []
+            to = [*(found.tolist() if parts else []), chunk]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array([*parts, None], pa.binary()), pa.array([None] * len(parts) + [block], pa.binary())], names=["to", "chunk", "keys", "docs"]
+            )
+
+        def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for batch in batches:
-                by: dict[int, list[np.ndarray]] = {}
-                for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    w = words(text.as_py())
-                    if len(w):
-                        left, each = _lefts(w), np.unique(w)
-                        by.setdefault(g, []).extend([_key(PAIR, left, w), *[_key(kind, each) for kind in (LEFT, KINDS, RIGHT)], *[_key(kind, left[:1]) for kind in (LEFT, KINDS)]])
-                for g, keys in by.items():
-                    keys = np.unique(np.concatenate(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), g, np.int32)), pa.array(keys)], names=["_g", "key"])
-
-        found = dealt.select("_g", "text").mapInArrow(asked, "_g int, key long").distinct().join(self.table, "key")
-        totals = self.totals
-
-        def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
-            keys = counts["key"].to_numpy()
-            order = np.argsort(keys)
-            values = np.stack([counts[c].to_numpy()[order] for c in COLUMNS], 1) if len(keys) else np.zeros((0, len(COLUMNS)), np.int64)
-            return judge(rows.drop_columns(["_g"]), (keys[order], values, totals))
-
-        return dealt.groupBy("_g").cogroup(found.groupBy("_g")).applyInArrow(run, schema)
-
-
-class Sealed:
-    """The counts of some keys, without those of one fold."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, totals: dict[str, int], without: int | None = None):
-        use = [[2 * f + c for f in range(FOLDS) if f != without] for c in range(2)]
-        self.keys, self.n = keys, np.stack([values[:, u].sum(1) for u in use]).astype(np.float64)
-        self.shared, self.totals = values[:, -1], totals
-        self.types = [sum(totals[COLUMNS[i]] for i in u) for u in use]
-        self.distinct = [totals[f"distinct_{without}_{c}"] for c in range(2)]
-
-    def _at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return at, self.keys[at] == key
-
-    def _counts(self, key: np.ndarray) -> np.ndarray:
-        """Counts of the two classes, none for keys without a row."""
-        at, there = self._at(key)
-        return np.where(there, self.n[:, at], 0.0) if len(self.keys) else np.zeros((2, len(key)))
-
-    def _lows(self, right: np.ndarray) -> np.ndarray:
-        """Continuation level: class counts, the shared ones, and a floor alike in both classes that calms rare words."""
-        key = _key(RIGHT, right)
-        at, there = self._at(key)
-        shared = np.where(there, self.shared[at], 0) if len(self.keys) else np.zeros(len(key))
-        base = (shared + 0.5) / (self.totals["shared"] + 0.5 * (self.totals["words"] + 1))
-        n, floor = self._counts(key), RARE / max(1.0, float(sum(self.types)))
-        return np.stack([((np.maximum(n[c] - DISCOUNT, 0) + DISCOUNT * self.distinct[c] * base) / self.types[c] if self.types[c] else base) + floor for c in range(2)])
-
-    def _logs(self, left: np.ndarray, right: np.ndarray, low: np.ndarray) -> np.ndarray:
-        seen = self._counts(_key(LEFT, left))
+                if batch.num_rows:
+                    held.append(batch)
+                    size += batch.column(at).nbytes
+                if size >= CHUNK_BYTES:
+                    yield question(held)
+                    held, size = [], 0
+            if held:
+                yield question(held)
+
+        def answer(asks: pa.Table, rows: pa.Table) -> pa.Table:
+            """(to, bucket, keys, vals): the keys of this bucket that fit each chunk's marks."""
+            out = []
+            known, values = _unpacked(rows) if asks.num_rows and asks["docs"].null_count else (np.zeros(0, np.uint64), None)
+            marks = _marks(known, buckets)
+            for to, chunk, keys in zip(asks["to"].to_pylist(), asks["chunk"].to_pylist(), asks["keys"].to_pylist(), strict=True):
+                if keys is None or not len(known):
+                    continue
+                wanted = _keys_in(keys)
+                i = np.minimum(np.searchsorted(wanted, marks), len(wanted) - 1)
+                fit = np.flatnonzero(wanted[i] == marks)
+                if len(fit):
+                    got = values[fit] if folds else _summed(values[fit])
+                    out.append({"to": chunk, "bucket": to, "keys": _keys_out(known[fit]), "vals": _squeeze(got.astype(np.int32).T)})
+            return pa.Table.from_pylist(out, pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
+
+        def judged(asks: pa.Table, answers: pa.Table) -> pa.Table:
+            found = [pa.ipc.open_stream(b).read_all() for b in asks["docs"].to_pylist() if b is not None]
+            if not found:
+                return empty
+            rows = found[0]
+            asked = Asked(rows.column(at).to_pylist(), places=True)
+            values = np.zeros((len(asked.keys), width), np.int64)
+            for k, v in zip(answers["keys"].to_pylist(), answers["vals"].to_pylist(), strict=True):
+                known = _keys_in(k)
+                i = np.minimum(np.searchsorted(asked.keys, known), len(asked.keys) - 1)
+                mine = asked.keys[i] == known
+                values[i[mine]] = _stretch(v, np.int32).reshape(width, -1).T[mine]
+            return judge(rows, asked, values)
+
+        empty = _empty(schema)
+        asks = mapped(docs, questions, "to long, chunk long, keys binary, docs binary").repartition("to")
+        answers = asks.groupBy("to").cogroup(self.table.groupBy("to")).applyInArrow(answer, "to long, bucket long, keys binary, vals binary")
+        return asks.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(judged, schema)
+
+
+def _empty(schema: StructType | str) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema)).empty_table()
+
+
+def _summed(values: np.ndarray, without: int | None = None) -> np.ndarray:
+    """Of the values of keys: n of class 0 and 1, kinds of both, ends of both, and the shared ends, over all folds but one."""
+    use = [[2 * f + c for f in range(FOLDS) if f != without] for c in range(2)]
+    w = len(SLOTS)
+    return np.stack([*(values[:, [part * w + i for i in u]].sum(1) for part in range(3) for u in use), values[:, -1]], 1)
+
+
+def features(asked: Asked, sums: np.ndarray, totals: dict[str, int], without: int | None = None) -> list[np.ndarray | None]:
+    """Mean log-likelihood ratios of each text, of bigrams and of continuations alone: over the whole text, and over its likeliest stretch of each length.
+
+    sums are those of _summed() for the keys asked for; a text without words has none.
+    """
+    use = [[2 * f + c for f in range(FOLDS) if f != without] for c in range(2)]
+    types = [sum(totals[SLOTS[i]] for i in u) for u in use]
+    sums = sums.astype(np.float64)
+    own, left, pair = sums[asked.word], sums[asked.left], sums[asked.pair]
+    base = (own[:, 6] + 0.5) / (totals["shared"] + 0.5 * (totals["words"] + 1))
+    floor, logs, lows = RARE / max(1.0, float(sum(types))), [], []
+    for c in range(2):
+        low = ((np.maximum(own[:, 4 + c] - DISCOUNT, 0) + DISCOUNT * totals[f"distinct_{without}_{c}"] * base) / types[c] if types[c] else base) + floor
+        seen = left[:, c]
         there = np.maximum(seen, 1)
-        high = np.maximum(self._counts(_key(PAIR, left, right)) - DISCOUNT, 0) / there + np.minimum(DISCOUNT * self._counts(_key(KINDS, left)) / there, 1) * low
-        return np.log(np.maximum(np.where(seen > 0, high, low), 1e-30))
-
-    def features(self, text: str | None) -> np.ndarray | None:
-        w = words(text)
-        if not len(w):
-            return None
-        low = self._lows(w)
-        log = self._logs(_lefts(w), w, low)
-        ratio = log[1] - log[0]
-        sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
-        span = min(PEAK, len(w))
-        peak = (sums[span:] - sums[:-span]).max() / span
-        single = np.log(low[1] / low[0])
-        n = min(TELLING, len(w))
-        telling = np.partition(single, len(w) - n)[len(w) - n :].mean()
-        return np.array([ratio.mean(), peak, single.mean(), telling, single.max()], np.float64)
+        high = np.maximum(pair[:, c] - DISCOUNT, 0) / there + np.minimum(DISCOUNT * left[:, 2 + c] / there, 1) * low
+        logs.append(np.log(np.maximum(np.where(seen > 0, high, low), 1e-30)))
+        lows.append(np.log(low))
+    run = [np.concatenate([[0.0], np.cumsum(x)]) for x in (logs[1] - logs[0], lows[1] - lows[0])]
+    out: list[np.ndarray | None] = []
+    for a, b in zip(asked.base[:-1].tolist(), asked.base[1:].tolist(), strict=True):
+        n = b - a
+        out.append(np.array([x for r in run for x in ((r[b] - r[a]) / n, *((r[a + k : b + 1] - r[a : b + 1 - k]).max() / k for k in [min(m, n) for m in STRETCHES]))]) if n else None)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -206,62 +332,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> Model:
-    """Learns from the labelled documents outside the held-out fold, and shared counts from all texts."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("c"))
-    marks = marks.withColumn("f", fold(F.col("doc_id")))
+    """Learns from the labelled documents outside the held-out fold."""
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("c_"))
+    marks = marks.withColumn("f_", fold(F.col("doc_id")))
     if held_out is not None:
-        marks = marks.where(F.col("f") != held_out)
-    texts = docs.select("doc_id", "text").join(marks, "doc_id", "left").select((2 * F.col("f") + F.col("c")).cast("int").alias("slot"), "text")
-    slots = COLUMNS[:-1]
-    counts = texts.mapInArrow(_count, "left long, right long, slot int, n long").groupBy("left", "right").agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(slots)])
-    counts = materialize(counts, "toxic-counts")
+        marks = marks.where(F.col("f_") != held_out)
+    marks = materialize(marks, "toxic-labels")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    known = docs.select("doc_id", "text").where("doc_id is not null").join(marks, "doc_id")
+    n = {r["c_"]: r["n"] for r in known.groupBy("c_").agg(F.count("*").alias("n")).collect()}
+    texts = known.select((2 * F.col("f_") + F.col("c_")).cast("int").alias("slot"), "text")
+    # Pairs meet where their right word is dealt, so that the kinds of pairs that it ends are counted there too.
+    counts = mapped(texts, _count, "left long, right long, slot int, n long").repartition("right").groupBy("left", "right")
+    counts = materialize(counts.agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(SLOTS)]), "toxic-counts")
     none = F.lit(0).cast("long")
-    kinds = [F.count_if(F.col(c) > 0).alias(c) for c in slots]
-    begun = counts.groupBy("left").agg(*[F.sum(c).alias(c) for c in slots]).select("left", none.alias("right"), *slots, none.alias("shared"))
-    begun_kinds = counts.groupBy("left").agg(*kinds).select("left", none.alias("right"), *slots, none.alias("shared"))
-    ended = counts.groupBy(F.col("right").alias("left")).agg(*kinds, F.count("*").alias("shared")).select("left", none.alias("right"), *slots, "shared")
-    ended = materialize(ended, "toxic-ended")
-    known_pairs = counts.where(" or ".join(f"{c} > 0" for c in slots)).withColumn("shared", none)
-    parts = [_keyed(rows, kind) for rows, kind in ((known_pairs, PAIR), (begun, LEFT), (begun_kinds, KINDS), (ended, RIGHT))]
+    kinds = [F.count_if(F.col(c) > 0) for c in SLOTS]
+    begun = counts.groupBy("left").agg(*[F.sum(c).alias(f"a{i}") for i, c in enumerate(SLOTS)], *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
+    ended = counts.groupBy(F.col("right").alias("left")).agg(*[k.alias(f"e{i}") for i, k in enumerate(kinds)], F.count("*").alias("shared"))
+    names = [f"{p}{i}" for p in "ake" for i in range(len(SLOTS))] + ["shared"]
+    every = begun.join(ended, "left", "full")
+    every = materialize(every.select("left", *[F.coalesce(c, none).alias(c) for c in names]), "toxic-words")
     left_out = [None, *range(FOLDS)]
-    some = {f"distinct_{without}_{c}": sum((F.col(f"c{2 * f + c}") for f in range(FOLDS) if f != without), F.lit(0)) > 0 for without in left_out for c in range(2)}
-    totals = ended.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), none).alias(c) for c in COLUMNS], *[F.count_if(x).alias(name) for name, x in some.items()]).first().asDict()
-    known = docs.select("doc_id", "text").where("doc_id is not null").join(marks, "doc_id").select("f", "c", "text", "doc_id")
-    n = {r["c"]: r["n"] for r in known.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    model = Model(materialize(union_all(parts), "toxic-model"), totals, n.get(1, 0) / max(1, sum(n.values())))
+    some = {f"distinct_{without}_{c}": sum((F.col(f"e{2 * f + c}") for f in range(FOLDS) if f != without), F.lit(0)) > 0 for without in left_out for c in range(2)}
+    totals = every.agg(F.count_if(F.col("shared") > 0).alias("words"), F.coalesce(F.sum("shared"), none).alias("shared"), F.count("*").alias("rows"),
+                       *[F.coalesce(F.sum(f"e{i}"), none).alias(c) for i, c in enumerate(SLOTS)], *[F.count_if(x).alias(name) for name, x in some.items()]).first().asDict()
+    buckets = power_of_two((totals["shared"] + totals["rows"]) / BUCKET_KEYS, LEAST_BUCKETS)
+    pairs = counts.select(F.lit(PAIR).alias("kind"), "left", "right", *[(F.col(SLOTS[i]) if i < len(SLOTS) else none).alias(c) for i, c in enumerate(names)])
+    rows = pairs.unionByName(every.select(F.lit(WORD).alias("kind"), "left", none.alias("right"), *names))
+    model = Model(materialize(mapped(rows, _packing(buckets), "to long, keys binary, vals binary"), "toxic-model"), buckets, totals, n.get(1, 0) / max(1, sum(n.values())))
+    discard(counts)
+    discard(every)
     if len(n) < 2:
         return model
-    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "toxic-sample")
-
-    def judge(rows: pa.Table, found: tuple) -> pa.Table:
-        sealed: dict[int, Sealed] = {}
-        out = []
-        for f, c, text in zip(rows["f"].to_pylist(), rows["c"].to_pylist(), rows["text"], strict=True):
-            if f not in sealed:
-                sealed[f] = Sealed(*found, f)
-            x = sealed[f].features(text.as_py())
-            if x is not None:
-                out.append({"c": c, "x": x.tolist()})
+    part = min(1.0, CALIBRATION_ROWS / sum(n.values()))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("f_", "c_", "text")
+
+    def judge(rows: pa.Table, asked: Asked, values: np.ndarray) -> pa.Table:
+        of = rows["f_"].to_pylist()
+        seen = {f: features(asked, _summed(values, f), totals, f) for f in set(of)}
+        found = [(c, seen[f][i]) for i, (f, c) in enumerate(zip(of, rows["c_"].to_pylist(), strict=True))]
+        out = [{"c": c, "x": x.tolist()} for c, x in found if x is not None]
         return pa.Table.from_pylist(out, pa.schema([("c", pa.int32()), ("x", pa.list_(pa.float64()))]))
 
-    rows = model.gather(sample, judge, "c int, x array<double>").toPandas()
-    if rows["c"].nunique() == 2:
-        model.weights = _logistic(np.stack(rows["x"].to_numpy()), rows["c"].to_numpy(float))
+    seen = model.gather(sample, judge, "c int, x array<double>", folds=True).collect()
+    if len({r["c"] for r in seen}) == 2:
+        model.weights = _logistic(np.array([r["x"] for r in seen]), np.array([r["c"] for r in seen], float))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a column toxic_score."""
+def score(docs: DataFrame, model: Model, out: str = "toxic_score") -> DataFrame:
+    """The documents with a column of that name, which replaces one that they have."""
+    docs = docs.drop(out)
     if model.weights is None:
-        return docs.withColumn("toxic_score", F.lit(float(model.rate)))
-    weights, rate = model.weights, float(model.rate)
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
-
-    def judge(rows: pa.Table, found: tuple) -> pa.Table:
-        sealed, out = Sealed(*found), []
-        for text in rows["text"]:
-            x = sealed.features(text.as_py())
-            out.append(rate if x is None else float(1 / (1 + np.exp(-np.clip(float(weights[0] + x @ weights[1:]), -40, 40)))))
-        return rows.append_column("toxic_score", pa.array(out, pa.float64()))
+        return docs.withColumn(out, F.lit(float(model.rate)))
+    weights, rate, totals = model.weights, float(model.rate), model.totals
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
+
+    def judge(rows: pa.Table, asked: Asked, sums: np.ndarray) -> pa.Table:
+        found = features(asked, sums, totals)
+        scores = [rate if x is None else float(1 / (1 + np.exp(-np.clip(float(weights[0] + x @ weights[1:]), -40, 40)))) for x in found]
+        return rows.append_column(out, pa.array(scores, pa.float64()))
 
     return model.gather(docs, judge, schema)
