@@ -6,7 +6,7 @@ runner-up is hardly larger.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is any text where no language
 was learned; a tie goes to the language that sorts first; very long texts are compressed whole, chunk by
-chunk; repeated rows are judged each; an empty table gives no rows; other columns pass through.
+chunk; repeated rows are judged each; an empty table gives no rows; other columns pass through, those of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from quillmine.llm.common import mapped, materialize
+
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 #: The fit takes, of each language, at most so many documents (of the least hashes) and so many bytes.
 FIT_DOCUMENTS, FIT_BYTES = 256, 112 << 10
+#: Ranges of hashes in which the documents of a language are ranked first.
+SPLITS = 64
+BROADCAST_ROWS = 200_000
 CHUNK = 2048
 LEVEL = 3
 #: A choice is rejected if the runner-up is larger by less than this part.
@@ -37,14 +42,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary content per language, from the documents outside the held-out fold."""
+    """Dictionary content per language, from the documents outside the held-out fold.
+
+    Hashes are ranked without texts; a group of one language in one range of hashes sends on at most
+    FIT_DOCUMENTS of them. Only the texts chosen, FIT_BYTES of each at most, reach the driver.
+    """
     rows = docs.where("lang is not null and text is not null").where(fold(F.col("doc_id")) != HELD_OUT).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_DOCUMENTS)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.where(F.col("before") < FIT_BYTES).select("lang", "n", F.expr(f"substring(text, 1, {FIT_BYTES})").alias("text"))
+    ids = rows.select("lang", "h", F.pmod("h", F.lit(SPLITS)).alias("s"))
+    order = Window.partitionBy("lang", "s").orderBy("h")
+    ids = ids.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_DOCUMENTS)
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= FIT_DOCUMENTS).select("lang", "h", "n")
+    ids = materialize(ids, "language-fit")
+    # At most FIT_DOCUMENTS rows of each language; broadcast unless there are very many languages.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    chosen = rows.join(ids, ["lang", "h"]).select("lang", "n", F.expr(f"substring(text, 1, {FIT_BYTES})").alias("text"))
+    chosen = chosen.dropDuplicates(["lang", "n"]).withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     found: dict[str, list[bytes]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["n"])):
+    for r in sorted(chosen.where(F.col("before") < FIT_BYTES).collect(), key=lambda r: (r["lang"], r["n"])):
         found.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
     return {lang: b"\n".join(parts)[:FIT_BYTES] for lang, parts in found.items()}
 
@@ -74,6 +88,7 @@ class Classifier:
 
 def classify(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """The documents with lang_pred, score and accepted (false where the margin is narrow or the text is `und`)."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
     shipped = docs.sparkSession.sparkContext.broadcast(content)
     at = docs.columns.index("text")
     kinds = [("lang_pred", StringType()), ("lang_score", DoubleType()), ("lang_accepted", BooleanType())]
@@ -86,4 +101,4 @@ def classify(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
             new = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[n for n, _ in kinds]])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

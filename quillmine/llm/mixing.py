@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from quillmine.llm.common import WORD, materialize, power_of_two
+from quillmine.llm.common import WORD, materialize, power_of_two, unused
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (1, 2, 3)
@@ -80,27 +81,28 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
 
     Columns are those of docs; n_chars, if there, is that of the text returned. Documents of size 0 go.
     """
-    chosen = mix(docs, weights, max_epochs).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("tie").alias("_tie"))
+    chosen = mix(docs, weights, max_epochs).where("taken > 0")
     # Repeated rows of one id, source and text share a key: their counts are added up and dealt out evenly among them.
-    chosen = chosen.groupBy("_d", "_s", "_tie").agg(F.max("_size").alias("_size"), F.sum("_taken").alias("_taken"))
-    out = docs.withColumn("_x", F.xxhash64("text")).alias("d").join(
-        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._d")) & F.col("d.source").eqNullSafe(F.col("c._s")) & (F.col("_x") == F.col("c._tie"))
+    chosen = chosen.groupBy("doc_id", "source", "tie").agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).alias("c")
+    x_, n_, of_, texts_, one_, left_ = (unused(docs, n) for n in ("x_", "n_", "of_", "texts_", "one_", "left_"))
+    out = docs.withColumn(x_, F.xxhash64("text")).alias("d").join(
+        chosen, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col(f"d.{x_}") == F.col("c.tie"))
     )
-    same = Window.partitionBy("d.doc_id", "d.source", "_x")
-    nth = F.row_number().over(same.orderBy(F.lit(1))) - 1
-    out = out.withColumn("_n", nth).withColumn("_of", F.count(F.lit(1)).over(same))
-    per = F.floor(F.col("_taken") / F.col("_of")) + F.when(F.col("_n") < F.col("_taken") % F.col("_of"), 1).otherwise(0)
-    out = out.withColumn("_t", per)
-    copies = F.floor(F.col("_t") / F.col("_size")).cast("int")
-    left = (F.col("_t") - copies * F.col("_size")).cast("int")
+    out = out.select("d.*", F.col("c.size").alias(of_), F.col("c.taken").alias(n_))
+    same = Window.partitionBy("doc_id", "source", x_)
+    # Rows alike in these are ordered by all their columns, so that reruns agree.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    nth, rows = F.row_number().over(same.orderBy(F.xxhash64(*hashed))) - 1, F.count(F.lit(1)).over(same)
+    mine = F.floor(F.col(n_) / rows) + F.when(nth < F.col(n_) % rows, 1).otherwise(0)
+    out = out.withColumn(left_, mine.cast("long"))
+    copies = F.floor(F.col(left_) / F.col(of_)).cast("int")
+    left = (F.col(left_) - copies * F.col(of_)).cast("int")
     words = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     cut = F.array_join(F.slice(words, 1, F.greatest(left, F.lit(1))), "")
-    out = out.withColumn("_cut", F.when(left > 0, cut)).withColumn(
-        "_texts", F.concat(F.array_repeat(F.col("text"), copies), F.when(left > 0, F.array("_cut")).otherwise(F.array().cast("array<string>")))
-    )
-    out = out.withColumn("_text", F.explode("_texts"))
-    value = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return out.select(*[value[c].alias(c) if c in value else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    out = out.withColumn(texts_, F.concat(F.array_repeat(F.col("text"), copies), F.when(left > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))))
+    out = out.withColumn(one_, F.explode(texts_))
+    value = {"text": F.col(one_), "n_chars": F.length(one_).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[value[c].alias(c) if c in value else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for the query op4_mixing.

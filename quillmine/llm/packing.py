@@ -148,7 +148,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
-    """Rows of pieces() with sequence_id and offset.
+    """Rows of pieces() with sequence_id, offset and ids_crc32.
 
     A sequence is its pieces in the order of offset, padded to window; a last piece of a power of two
     needs no padding. Pieces are written under numbers first; only numbers and lengths are placed, and the
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, se
     rest = first.where("loose").drop("loose", "sequence_id", "offset").withColumn("g", (F.col("g") % again).cast("int"))
     second = rest.groupBy("g").applyInArrow(lambda part: place(part, again, True), base + ", sequence_id long, offset long")
     placed = first.where("not loose").drop("loose").unionByName(second).select("piece", "sequence_id", "offset")
-    return cut.join(placed, "piece").drop("piece")
+    return cut.join(placed, "piece").drop("piece").withColumn("ids_crc32", F.crc32("ids"))
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, padding: int = SEPARATOR) -> DataFrame:

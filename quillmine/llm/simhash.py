@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, MapType, StructField, StructType
 
-from quillmine.llm.common import components, materialize
+from quillmine.llm.common import components, mapped, materialize, unused
 
 SHINGLE = 4
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -109,13 +109,13 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the least id reachable over links."""
+    """doc_id, fp, component_id: the least id reachable over links of fingerprints (null where no row reachable has one)."""
     rows = materialize(fingerprints(docs), "simhash")
     points = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    # Ids may repeat across fingerprints, so links join ids: sharing one is a link of its own.
-    found = components(materialize(links(points.where("id is not null")), "simhash-links"), "simhash-components")
-    named = points.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = components(materialize(links(points.select("fp", F.col("fp").alias("id"))), "simhash-links"), "simhash-components")
+    named = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -161,18 +161,18 @@ def near_tables(points: int) -> np.ndarray:
     return np.stack([64 + rng.choice(64 * (NEAR_WORDS - 1), width, replace=False) for _ in range(count)])
 
 
-def _signed_rows(docs: DataFrame) -> DataFrame:
-    """The documents with _set (digest of the set of shingles), _size (of the set), _fp (its fingerprint)."""
+def _signed_rows(docs: DataFrame, set_: str, size_: str, fp_: str) -> DataFrame:
+    """The documents with the digest of the set of shingles, its size, and its fingerprint."""
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("_set", BinaryType()), StructField("_size", IntegerType()), StructField("_fp", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField(set_, BinaryType()), StructField(size_, IntegerType()), StructField(fp_, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(at)]
             new = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_set", "_size", "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, set_, size_, fp_])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _near_keys(points: DataFrame, tables: np.ndarray) -> DataFrame:
@@ -188,7 +188,7 @@ def _near_keys(points: DataFrame, tables: np.ndarray) -> DataFrame:
                 key = bits[:, which].astype(np.int64) @ powers
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), batch.column(0), batch.column(1), first], names=["n", "key", "id", "size", "first"])
 
-    return points.select("id", "size", "fp").mapInArrow(run, "n int, key long, id binary, size int, first long")
+    return mapped(points.select("id", "size", "fp"), run, "n int, key long, id binary, size int, first long")
 
 
 def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= NEAR_ALL
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    met = materialize(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b").mapInArrow(close, "a binary, b binary"), "near-met")
+    met = materialize(mapped(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b"), close, "a binary, b binary"), "near-met")
     needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     read = materialize(texts.join(needed, "id", "left_semi"), "near-texts")
     pairs = met.join(read.toDF("a", "text_a"), "a").join(read.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
@@ -221,21 +221,22 @@ def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(both >= NEAR_JACCARD * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(verify, "a binary, b binary")
+    return mapped(pairs, verify, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Of every group of near duplicates the row of the least id (a null one last, then by the row's hash), once."""
-    rows = materialize(_signed_rows(docs), "near-rows")
-    hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    rows = rows.withColumn("_row", F.xxhash64(*hashed))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
-    points = rows.groupBy(F.col("_set").alias("id")).agg(F.first("_size").alias("size"), F.first("_fp").alias("fp"), F.min(order).alias("least"))
+    set_, size_, fp_, row_ = (unused(docs, n) for n in ("set_", "size_", "fp_", "row_"))
+    rows = materialize(_signed_rows(docs, set_, size_, fp_), "near-rows")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    rows = rows.withColumn(row_, F.xxhash64(*hashed))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row_).alias("row"))
+    points = rows.groupBy(F.col(set_).alias("id")).agg(F.first(size_).alias("size"), F.first(fp_).alias("fp"), F.min(order).alias("least"))
     points = materialize(points, "near-points")
     # Any text of a set has its shingles; that of the least row is taken.
-    heads = points.select("id", F.col("least.row").alias("_row"))
-    texts = rows.select(F.col("_set").alias("id"), "_row", "text").join(heads, ["id", "_row"], "left_semi").dropDuplicates(["id", "_row"]).select("id", "text")
+    heads = points.select("id", F.col("least.row").alias("row"))
+    texts = rows.select(F.col(set_).alias("id"), F.col(row_).alias("row"), "text").join(heads, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]).select("id", "text")
     found = components(materialize(near_links(points.select("id", "size", "fp"), texts), "near-links"), "near-components")
     named = points.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("component"))
-    keep = named.groupBy("component").agg(F.min(F.struct("least", "id")).alias("k")).select(F.col("k.id").alias("_set"), F.col("k.least.row").alias("_row"))
-    return rows.join(keep, ["_set", "_row"], "left_semi").dropDuplicates(["_set", "_row"]).select(*docs.columns)
+    keep = named.groupBy("component").agg(F.min(F.struct("least", "id")).alias("k")).select(F.col("k.id").alias(set_), F.col("k.least.row").alias(row_))
+    return rows.join(keep, [set_, row_], "left_semi").dropDuplicates([set_, row_]).select(*[f"`{c}`" for c in docs.columns])

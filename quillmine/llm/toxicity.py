@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Each class has discounted bigram counts that back off to its continuation counts, and these to the
-continuation counts that both classes share. The length-normalised log-likelihoods of both models are
+Each class has discounted bigram counts that back off to its continuation counts, and these to counts that
+both classes share, those of the words of all texts. The length-normalised log-likelihoods of both models are
 compared over the whole text and over its likeliest stretches of a few lengths; a small logistic calibration
-of these ratios is the score. Counts cover all labelled documents outside the held-out fold.
+of these ratios is the score. The classes' counts cover all labelled documents outside the held-out fold.
 
 The model is a table of 64-bit keys in buckets, which grows with the input and isn't broadcast. Documents
 are gathered to chunks; each asks the buckets for the keys of its words and pairs, and is scored with the
@@ -52,7 +52,7 @@ MARK_BITS = 24
 BROADCAST_LABELS = 2_000_000
 #: A count of every fold and class.
 SLOTS = [f"c{i}" for i in range(2 * FOLDS)]
-#: Values of a key. Pair: its counts in the first columns. Word: pairs and kinds of pairs that it begins, kinds that it ends, in all slots, and kinds that it ends in both classes together.
+#: Values of a key. Pair: its counts in the first columns. Word: pairs and kinds of pairs that it begins, kinds that it ends, in all slots, and how often it occurs in all texts.
 WIDTH = 3 * len(SLOTS) + 1
 PAIR, WORD = range(2)
 _WORD = re.compile(r"\w+")
@@ -107,6 +107,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(slot[at].astype(np.int32)), pa.array(n)], names=["left", "right", "slot", "n"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, shared): words and how often they occur."""
+    for batch in batches:
+        w, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(words(t.as_py()) for t in batch.column(0))]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["left", "shared"])
+
+
 def _squeeze(a: np.ndarray) -> bytes:
     """Bytes of an array, like bytes of all numbers together, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
@@ -332,7 +339,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> Model:
-    """Learns from the labelled documents outside the held-out fold."""
+    """Learns from the labelled documents outside the held-out fold, and the shared counts from all texts."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("c_"))
     marks = marks.withColumn("f_", fold(F.col("doc_id")))
     if held_out is not None:
@@ -348,15 +355,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) ->
     none = F.lit(0).cast("long")
     kinds = [F.count_if(F.col(c) > 0) for c in SLOTS]
     begun = counts.groupBy("left").agg(*[F.sum(c).alias(f"a{i}") for i, c in enumerate(SLOTS)], *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
-    ended = counts.groupBy(F.col("right").alias("left")).agg(*[k.alias(f"e{i}") for i, k in enumerate(kinds)], F.count("*").alias("shared"))
+    ended = counts.groupBy(F.col("right").alias("left")).agg(*[k.alias(f"e{i}") for i, k in enumerate(kinds)])
+    shared = mapped(docs.select("text"), _tokens, "left long, shared long").groupBy("left").agg(F.sum("shared").alias("shared"))
     names = [f"{p}{i}" for p in "ake" for i in range(len(SLOTS))] + ["shared"]
-    every = begun.join(ended, "left", "full")
+    every = begun.join(ended, "left", "full").join(shared, "left", "full")
     every = materialize(every.select("left", *[F.coalesce(c, none).alias(c) for c in names]), "toxic-words")
     left_out = [None, *range(FOLDS)]
     some = {f"distinct_{without}_{c}": sum((F.col(f"e{2 * f + c}") for f in range(FOLDS) if f != without), F.lit(0)) > 0 for without in left_out for c in range(2)}
     totals = every.agg(F.count_if(F.col("shared") > 0).alias("words"), F.coalesce(F.sum("shared"), none).alias("shared"), F.count("*").alias("rows"),
                        *[F.coalesce(F.sum(f"e{i}"), none).alias(c) for i, c in enumerate(SLOTS)], *[F.count_if(x).alias(name) for name, x in some.items()]).first().asDict()
-    buckets = power_of_two((totals["shared"] + totals["rows"]) / BUCKET_KEYS, LEAST_BUCKETS)
+    buckets = power_of_two((counts.count() + totals["rows"]) / BUCKET_KEYS, LEAST_BUCKETS)
     pairs = counts.select(F.lit(PAIR).alias("kind"), "left", "right", *[(F.col(SLOTS[i]) if i < len(SLOTS) else none).alias(c) for i, c in enumerate(names)])
     rows = pairs.unionByName(every.select(F.lit(WORD).alias("kind"), "left", none.alias("right"), *names))
     model = Model(materialize(mapped(rows, _packing(buckets), "to long, keys binary, vals binary"), "toxic-model"), buckets, totals, n.get(1, 0) / max(1, sum(n.values())))

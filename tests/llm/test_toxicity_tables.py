@@ -16,9 +16,16 @@ def test_counts_are_not_folded(spark):
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=None)
     tokens = {i: re.findall(r"\w+", t) for i, t in rows}
     assert model.totals["words"] == len({w for t in tokens.values() for w in t})
-    assert model.totals["shared"] == len({p for t in tokens.values() for p in zip(["", *t], t)})
-    one = Counter(p for i, c in labels if c for p in zip(["", *tokens[i]], tokens[i]))
-    toxic = [f"c{2 * f + 1}" for f in range(toxicity.FOLDS)]
-    key = {int(toxicity._key(toxicity.PAIR, toxicity._lefts(w)[1:2], w[1:2])[0]): one[tuple(tokens[i][:2])] for i in range(0, 400, 10) for w in [toxicity.words(rows[i][1])]}
-    got = {r.key: sum(r[c] for c in toxic) for r in model.table.where(model.table.key.isin(list(key))).collect()}
-    assert got == key
+    assert model.totals["shared"] == sum(map(len, tokens.values()))
+    keys, values = toxicity._unpacked(model.table.toArrow())
+    assert len(set(keys.tolist())) == len(keys)
+    found = dict(zip(keys.tolist(), values.tolist(), strict=True))
+    pairs = Counter(p for i, c in labels if c for p in zip(["", *tokens[i]], tokens[i]))
+    one = Counter(w for i, c in labels if c for w in tokens[i])
+    for i in range(0, 400, 10):
+        w = toxicity.words(rows[i][1])
+        pair = found[int(toxicity._key(toxicity.PAIR, toxicity._lefts(w)[1:2], w[1:2]).view(np.uint64)[0])] if i in dict(labels) else [0] * toxicity.WIDTH
+        assert sum(pair[1:8:2]) == pairs[tuple(tokens[i][:2])]
+        word = found[int(toxicity._key(toxicity.WORD, w[3:4]).view(np.uint64)[0])]
+        assert sum(word[1:8:2]) == one[tokens[i][3]]  # it begins a pair wherever it isn't last
+        assert word[-1] == sum(t.count(tokens[i][3]) for t in tokens.values())
