@@ -83,3 +83,57 @@ def edge_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = (side.select("source", "target").distinct().withColumn(name, F.lit(True)) for side, name in ((before, "b"), (after, "a")))
     both = a.join(b, ["source", "target"], "full_outer")
     return both.where("a is null or b is null").select("source", "target", F.when(F.col("b").isNull(), "added").otherwise("removed").alias("state"))
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (node, label, own) passed along edges inside one label of origin until nothing changes: the greatest that reaches each node."""
+    while True:
+        sent = edges.join(labels, F.col("source") == F.col("node")).select(F.col("target").alias("node"), "label", F.col("own").alias("of"))
+        best = sent.groupBy("node", "of").agg(F.max("label").alias("seen"))
+        new = labels.join(best, (labels["node"] == best["node"]) & labels["own"].eqNullSafe(best["of"]), "left").select(labels["node"], F.greatest("label", "seen").alias("label"), "own")
+        new = rewritten(new)
+        changed = new.join(labels.select("node", F.col("label").alias("before")), "node").where("label <> before").isEmpty()
+        labels = new
+        if changed:
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components, named by their greatest node; single nodes are components of their own.
+
+    The greatest node that reaches each node colours it; of a colour, the nodes that reach its name in turn
+    form a component. Those go, and the rest is coloured again.
+    """
+    left = rewritten(edges.where("source <> target").select("source", "target").distinct())
+    nodes = rewritten(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct())
+    done = None
+    while not nodes.isEmpty():
+        colour = _spread(left, nodes.select("node", F.col("node").alias("label"), F.lit(None).cast("string").alias("own")))
+        back = left.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        inner = back.join(colour.select(F.col("node").alias("source"), F.col("label").alias("x")), "source").join(colour.select(F.col("node").alias("target"), F.col("label").alias("y")), "target")
+        inner = rewritten(inner.where("x = y").select("source", "target"))
+        found = rewritten(reached(inner, colour.where("node = label").select("node")).select("node").join(colour, "node").select("node", F.col("label").alias("component")))
+        done = found if done is None else done.unionByName(found)
+        nodes = rewritten(nodes.join(found, "node", "left_anti"))
+        for end in ("source", "target"):
+            left = left.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+        left = rewritten(left.select("source", "target"))
+    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
+
+
+def federated(graphs: dict[str, DataFrame]) -> DataFrame:
+    """Edges of several graphs, node ids prefixed by the graph's name."""
+    parts = [e.select(*[F.concat(F.lit(f"{name}:"), F.col(c).cast("string")).alias(c) for c in ("source", "target")], F.lit(name).alias("graph")) for name, e in graphs.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def impact(edges: DataFrame, changed: DataFrame, depth: int = 3, direction: str = "both") -> DataFrame:
+    """(node, distance, known): nodes within depth steps of changed ones (node), these included; a changed node that no edge has isn't known."""
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    way = {"forward": edges, "backward": back}.get(direction, edges)
+    rows = reached(way, changed, depth, both=direction == "both")
+    known = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("k", F.lit(True))
+    return rows.join(known, "node", "left").select("node", "distance", F.coalesce("k", F.lit(False)).alias("known"))

@@ -90,3 +90,30 @@ def handoffs(rows: DataFrame) -> DataFrame:
     before = F.lag("author").over(Window.partitionBy("file").orderBy("at", "id"))
     moved = rows.withColumn("from_author", before).where("from_author <> author")
     return moved.groupBy("file", "from_author", F.col("author").alias("to_author")).agg(F.count("*").alias("handoffs"))
+
+
+def dominant_owner(rows: DataFrame) -> DataFrame:
+    """After each change of a file (id, file, author, at): who has made most changes so far, the latest of equals.
+
+    Whoever just made a change wins a tie, so the owner moves to an author exactly when that author's own
+    count reaches the highest so far.
+    """
+    running = Window.partitionBy("file").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.count("*").over(Window.partitionBy("file", "author").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("own", own).withColumn("most", F.max("own").over(running)).withColumn("total", F.count("*").over(running))
+    rows = rows.withColumn("owner", F.last(F.when(F.col("own") == F.col("most"), F.col("author")), ignorenulls=True).over(running))
+    before = F.lag("owner").over(Window.partitionBy("file").orderBy("at", "id"))
+    return rows.select("id", "file", "author", "at", "total", "own", rounded(F.col("own") / F.col("total")).alias("share"), "owner", before.alias("owner_before"))
+
+
+def owner_handoffs(rows: DataFrame) -> DataFrame:
+    """Changes of the dominant owner: file, from_owner, to_owner, id and at of the change."""
+    return dominant_owner(rows).where("owner <> owner_before").select("file", F.col("owner_before").alias("from_owner"), F.col("owner").alias("to_owner"), "id", "at")
+
+
+def owner_periods(rows: DataFrame) -> DataFrame:
+    """Unbroken runs of one dominant owner in a file."""
+    order = Window.partitionBy("file").orderBy("at", "id")
+    new = F.coalesce((F.col("owner") != F.col("owner_before")).cast("long"), F.lit(1))
+    runs = dominant_owner(rows).withColumn("period", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("file", "period", "owner").agg(F.count("*").alias("changes"), F.min("at").alias("from_at"), F.max("at").alias("to_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,45 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     q = query.limit(1)
     scored = vectors.crossJoin(F.broadcast(q)).select("id", rounded(cosine(F.col("v"), F.col("q")), 6).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
+
+
+#: Vectors of a block, so that a task holds two blocks and their products.
+BLOCK = 1024
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """(ids, m): blocks of vectors (id, v) of equal length, scaled to length 1, as bytes; null and zero vectors are left out."""
+
+    def run(batches):
+        for batch in batches:
+            ids, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a in range(0, len(ids), BLOCK):
+                full = [(i, x) for i, x in zip(ids[a : a + BLOCK], v[a : a + BLOCK], strict=True) if x and None not in x and any(x)]
+                if full:
+                    m = np.array([x for _, x in full])
+                    m /= np.sqrt((m * m).sum(1))[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([np.array([i for i, _ in full], np.int64).tobytes()]), pa.array([m.tobytes()])], names=["ids", "m"])
+
+    return vectors.select(F.col("id").cast("long"), "v").mapInArrow(run, "ids binary, m binary")
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity): the k most similar vectors (id, v) of each query (id, v), by matrix products of blocks.
+
+    Every block of queries meets every block of vectors; a pair of blocks sends on k rows a query, and these
+    are cut to k again per query.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for q_ids, q, ids, m in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                product = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(m).reshape(len(ids), -1).T
+                near = np.floor(product * 1e5 + 0.5) / 1e5
+                best = np.stack([np.lexsort((ids, -row))[:k] for row in near])
+                rows = np.repeat(np.arange(len(q_ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[best.ravel()]), pa.array(near[rows, best.ravel()])], names=["query_id", "id", "similarity"])
+
+    pairs = _blocks(queries).toDF("q_ids", "q").crossJoin(_blocks(vectors))
+    found = pairs.mapInArrow(run, "query_id long, id long, similarity double")
+    return top_per(found, "query_id", [F.desc("similarity"), "id"], k).drop("rank")

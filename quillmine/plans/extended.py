@@ -56,9 +56,9 @@ def _(spark, d):
     return load(spark, d, "part").where(hit & (F.col("p_size") > 20)).select("p_partkey", "p_name")
 
 
-@query("f11_audit_page", "SELECT event_id, event_type FROM events WHERE event_type = 'click' AND user_id < 40 ORDER BY ts DESC, event_id LIMIT 20 OFFSET 20")
+@query("f11_audit_page", "SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 20 OFFSET 20")
 def _(spark, d):
-    rows = load(spark, d, "events").where("event_type = 'click' and user_id < 40").orderBy(F.desc("ts"), "event_id")
+    rows = load(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id")
     return rows.offset(20).limit(20).select("event_id", "event_type")
 
 
@@ -90,9 +90,9 @@ def _(spark, d):
     return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("files"), rounded(F.sum("s_acctbal")).alias("total"))
 
 
-@query("a17_feedback", "SELECT event_type AS rule, count(*) AS n, count(*) FILTER (value > 50) AS accepted, count(DISTINCT user_id) AS users FROM events WHERE user_id < 30 GROUP BY 1")
+@query("a17_feedback", "SELECT event_type AS rule, count(*) AS n, count(*) FILTER (value > 50) AS accepted, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def _(spark, d):
-    return load(spark, d, "events").where("user_id < 30").groupBy(F.col("event_type").alias("rule")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("accepted"), F.countDistinct("user_id").alias("users"))
+    return load(spark, d, "events").groupBy(F.col("event_type").alias("rule")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("accepted"), F.countDistinct("user_id").alias("users"))
 
 
 @query("a19_false_positives", f"WITH r AS (SELECT user_id AS rule, count(*) AS n, count(*) FILTER (event_type = 'error') / count(*) AS e FROM events GROUP BY 1) SELECT rule, n, {R('e', '1000000.0')} AS rate, e >= .7 AND n >= 10 AS deactivate FROM r WHERE n >= 5 AND e > .1")
@@ -110,7 +110,7 @@ def _(spark, d):
 
 
 def edges_of(spark, d):
-    return load(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "l_quantity", "l_linestatus")
+    return load(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "l_quantity", "l_linestatus", "l_linenumber")
 
 
 EDGES = "SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem"
@@ -126,13 +126,14 @@ def _(spark, d):
     return edges_of(spark, d).groupBy(F.col("target").alias("node")).agg(F.countDistinct("source").alias("fan_in")).where("fan_in >= 3")
 
 
-LINKS = "SELECT source, target FROM (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_quantity > 40 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity < 3)"
+LINKS = "SELECT source, target FROM (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_linenumber % 2 = 1 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0)"
 
 
 def links_of(spark, d):
+    """All lines as edges: odd ones from supplier to part, even ones back."""
     e = edges_of(spark, d)
-    back = e.where("l_quantity < 3").select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return e.where("l_quantity > 40").select("source", "target").unionByName(back).distinct()
+    back = e.where("l_linenumber % 2 = 0").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return e.where("l_linenumber % 2 = 1").select("source", "target").unionByName(back).distinct()
 
 
 def _rank_sql(iterations: int = 20) -> str:
@@ -154,32 +155,39 @@ def _(spark, d):
     return graphs.reached(links_of(spark, d), spark.createDataFrame([("s1",)], "node string"), 4)
 
 
-@query("g9_reachable", f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 49), w(node) AS (SELECT 's1' UNION SELECT CASE WHEN e.a = w.node THEN e.b ELSE e.a END FROM w JOIN e ON e.a = w.node OR e.b = w.node) SELECT node FROM w")
+@query("g9_reachable", f"WITH RECURSIVE e AS MATERIALIZED (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), w(node) AS (SELECT 's1' UNION SELECT e.b FROM w JOIN e ON e.a = w.node) SELECT node FROM w")
 def _(spark, d):
-    e = edges_of(spark, d).where("l_quantity > 49").select("source", "target")
+    e = edges_of(spark, d).select("source", "target")
     return graphs.reached(e, spark.createDataFrame([("s1",)], "node string"), both=True).select("node")
 
 
-RING = "SELECT DISTINCT n_nationkey AS source, unnest([(2 * n_nationkey + 1) % 25, (3 * n_nationkey + 2) % 25]) AS target FROM nation"
+TREE = "SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation"
 
 
-def ring_of(spark, d):
-    k = F.col("n_nationkey")
-    return load(spark, d, "nation").select(k.alias("source"), F.explode(F.array((2 * k + 1) % 25, (3 * k + 2) % 25)).alias("target"))
+def tree_of(spark, d):
+    """Edges from customers to nations, and between nations and regions both ways."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    c = load(spark, d, "customer").select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target"))
+    up = load(spark, d, "nation").select(name("n", "n_nationkey").alias("source"), name("r", "n_regionkey").alias("target"))
+    return c.unionByName(up).unionByName(up.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
-PATHS = f"WITH RECURSIVE e AS MATERIALIZED ({RING}), w(path, steps) AS (SELECT [0], 0 UNION ALL SELECT list_append(path, e.target), steps + 1 FROM w JOIN e ON e.source = path[-1] AND NOT list_contains(path, e.target) WHERE steps < 5)"
+def customers_of(spark, d):
+    return load(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+
+
+PATHS = f"WITH RECURSIVE e AS MATERIALIZED ({TREE}), w(path, steps) AS (SELECT ['c' || c_custkey], 0 FROM customer UNION ALL SELECT list_append(path, e.target), steps + 1 FROM w JOIN e ON e.source = path[-1] AND NOT list_contains(path, e.target) WHERE steps < 5)"
 
 
 @query("g6_simple_paths", f"{PATHS} SELECT array_to_string(path, '>') AS path, CAST(steps AS INT) AS steps FROM w WHERE steps > 0")
 def _(spark, d):
-    found = graphs.simple_paths(ring_of(spark, d), spark.createDataFrame([(0,)], "node int"), 5)
+    found = graphs.simple_paths(tree_of(spark, d), customers_of(spark, d), 5)
     return found.select(F.array_join("path", ">").alias("path"), "steps")
 
 
 @query("g8_call_chains", f"{PATHS} SELECT array_to_string(path, '>') AS path, CAST(steps AS INT) AS steps FROM w WHERE steps = 5 OR NOT EXISTS (SELECT 1 FROM e WHERE e.source = path[-1] AND NOT list_contains(path, e.target))")
 def _(spark, d):
-    found = graphs.simple_paths(ring_of(spark, d), spark.createDataFrame([(0,)], "node int"), 5, complete=True)
+    found = graphs.simple_paths(tree_of(spark, d), customers_of(spark, d), 5, complete=True)
     return found.select(F.array_join("path", ">").alias("path"), "steps")
 
 
@@ -212,10 +220,10 @@ def _(spark, d):
 
 
 @query("j10_shared_symbols", """
-WITH u AS (SELECT DISTINCT l_suppkey AS repo, l_partkey AS symbol FROM lineitem WHERE l_quantity > 25)
+WITH u AS (SELECT DISTINCT l_suppkey AS repo, l_partkey AS symbol FROM lineitem)
 SELECT a.repo AS "left", b.repo AS "right", count(*) AS shared, min(a.symbol) AS symbol FROM u a JOIN u b ON a.symbol = b.symbol AND a.repo < b.repo GROUP BY ALL HAVING count(*) >= 3""")
 def _(spark, d):
-    return relations.shared_symbols(load(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("symbol")), 3)
+    return relations.shared_symbols(load(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("symbol")), 3)
 
 
 @query("j11_layer_policy", """
