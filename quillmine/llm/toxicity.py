@@ -43,9 +43,11 @@ STRETCHES = (12, 3, 1)
 #: Counts that a word's class counts are weighed against.
 RARE = 5.0
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
+#: Words whose hashes a Python worker keeps; others are hashed each time.
+MEMO_WORDS = 500_000
 #: Keys of a bucket on average, buckets at least, and rows that a task gathers before it packs them.
-BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 400_000
+BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 200_000
 #: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
 MARK_BITS = 24
 #: Labels up to so many are broadcast (16 bytes each); more are joined by a shuffle.
@@ -68,15 +70,13 @@ def fold(doc_id: Column) -> Column:
 def words(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words."""
     found = _WORD.findall((text or "").lower())
-    out = np.empty(len(found), np.int64)
-    for i, w in enumerate(found):
-        h = _MEMO.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
-            if len(_MEMO) < 200_000:
-                _MEMO[w] = h
-        out[i] = h
-    return out
+    hashes = list(map(_MEMO.get, found))
+    if None in hashes:
+        new = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w, h in zip(found, hashes, strict=True) if h is None}
+        hashes = [new[w] if h is None else h for w, h in zip(found, hashes, strict=True)]
+        if len(_MEMO) < MEMO_WORDS:
+            _MEMO.update(new)
+    return np.array(hashes, np.int64)
 
 
 def _lefts(w: np.ndarray) -> np.ndarray:
@@ -104,6 +104,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         left, right = np.concatenate([_lefts(w) for w in ws if len(w)]), np.concatenate(ws)
         _, at, n = np.unique(_key(PAIR, left, right) + slot, return_index=True, return_counts=True)
+        order = np.lexsort((left[at], right[at]))  # like words together, as blocks of a shuffle are compressed
+        at, n = at[order], n[order]
         yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(slot[at].astype(np.int32)), pa.array(n)], names=["left", "right", "slot", "n"])
 
 
@@ -145,6 +147,18 @@ def _marks(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys << np.uint64(buckets.bit_length() - 1)) >> np.uint64(64 - MARK_BITS)
 
 
+def _rest(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bits of keys after bucket and mark."""
+    return keys & np.uint64((1 << (64 - MARK_BITS - (buckets.bit_length() - 1))) - 1)
+
+
+def _joined(bucket: int, marks: np.ndarray, rest: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys from their bucket, mark and other bits."""
+    bits = buckets.bit_length() - 1
+    top = np.uint64((bucket << (64 - bits)) & ((1 << 64) - 1)) if bits else np.uint64(0)
+    return top | (marks << np.uint64(64 - MARK_BITS - bits)) | rest
+
+
 def _packing(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (kind, left, right, values) to packed rows (to, keys, values) of the buckets."""
 
@@ -196,7 +210,7 @@ class Asked:
         each = np.unique(np.append(w, 0))
         names = _key(WORD, each).view(np.uint64)
         if not places:
-            self.keys = np.unique(np.concatenate([np.unique(pairs), names])) if len(w) else np.zeros(0, np.uint64)
+            self.keys = np.unique(np.concatenate([pairs, names])) if len(w) else np.zeros(0, np.uint64)
             return
         own, inverse = np.unique(pairs, return_inverse=True)
         self.keys = np.unique(np.concatenate([own, names])) if len(w) else np.zeros(0, np.uint64)
@@ -250,7 +264,7 @@ class Model:
                 yield question(held)
 
         def answer(asks: pa.Table, rows: pa.Table) -> pa.Table:
-            """(to, bucket, keys, vals): the keys of this bucket that fit each chunk's marks."""
+            """(to, bucket, nth, rest, vals): of the keys of this bucket that fit a chunk's marks, which mark they fit and their bits after it."""
             out = []
             known, values = _unpacked(rows) if asks.num_rows and asks["docs"].null_count else (np.zeros(0, np.uint64), None)
             marks = _marks(known, buckets)
@@ -262,8 +276,9 @@ class Model:
                 fit = np.flatnonzero(wanted[i] == marks)
                 if len(fit):
                     got = values[fit] if folds else _summed(values[fit])
-                    out.append({"to": chunk, "bucket": to, "keys": _keys_out(known[fit]), "vals": _squeeze(got.astype(np.int32).T)})
-            return pa.Table.from_pylist(out, pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
+                    nth = np.diff(i[fit].astype(np.int32), prepend=np.int32(0))
+                    out.append({"to": chunk, "bucket": to, "nth": _squeeze(nth), "rest": _squeeze(_rest(known[fit], buckets)), "vals": _squeeze(got.astype(np.int32).T)})
+            return pa.Table.from_pylist(out, pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("nth", pa.binary()), ("rest", pa.binary()), ("vals", pa.binary())]))
 
         def judged(asks: pa.Table, answers: pa.Table) -> pa.Table:
             found = [pa.ipc.open_stream(b).read_all() for b in asks["docs"].to_pylist() if b is not None]
@@ -272,8 +287,11 @@ class Model:
             rows = found[0]
             asked = Asked(rows.column(at).to_pylist(), places=True)
             values = np.zeros((len(asked.keys), width), np.int64)
-            for k, v in zip(answers["keys"].to_pylist(), answers["vals"].to_pylist(), strict=True):
-                known = _keys_in(k)
+            found_in, first = _bucketed(asked.keys, buckets)
+            spans = {b: asked.keys[x:y] for b, x, y in zip(found_in.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)}
+            for bucket, nth, rest, v in zip(*[answers[c].to_pylist() for c in ("bucket", "nth", "rest", "vals")], strict=True):
+                marks = np.unique(_marks(spans[bucket], buckets))[np.cumsum(_stretch(nth, np.int32))]
+                known = _joined(bucket, marks, _stretch(rest, np.uint64), buckets)
                 i = np.minimum(np.searchsorted(asked.keys, known), len(asked.keys) - 1)
                 mine = asked.keys[i] == known
                 values[i[mine]] = _stretch(v, np.int32).reshape(width, -1).T[mine]
@@ -281,7 +299,7 @@ class Model:
 
         empty = _empty(schema)
         asks = mapped(docs, questions, "to long, chunk long, keys binary, docs binary").repartition("to")
-        answers = asks.groupBy("to").cogroup(self.table.groupBy("to")).applyInArrow(answer, "to long, bucket long, keys binary, vals binary")
+        answers = asks.groupBy("to").cogroup(self.table.groupBy("to")).applyInArrow(answer, "to long, bucket long, nth binary, rest binary, vals binary")
         return asks.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(judged, schema)
 
 
@@ -306,15 +324,16 @@ def features(asked: Asked, sums: np.ndarray, totals: dict[str, int], without: in
     """
     use = [[2 * f + c for f in range(FOLDS) if f != without] for c in range(2)]
     types = [sum(totals[SLOTS[i]] for i in u) for u in use]
-    sums = sums.astype(np.float64)
-    own, left, pair = sums[asked.word], sums[asked.left], sums[asked.pair]
-    base = (own[:, 6] + 0.5) / (totals["shared"] + 0.5 * (totals["words"] + 1))
+    # Columns one by one, as a chunk has many more words than keys.
+    of = lambda column, places: sums[:, column].astype(np.float64)[places]
+    base = (of(6, asked.word) + 0.5) / (totals["shared"] + 0.5 * (totals["words"] + 1))
     floor, logs, lows = RARE / max(1.0, float(sum(types))), [], []
     for c in range(2):
-        low = ((np.maximum(own[:, 4 + c] - DISCOUNT, 0) + DISCOUNT * totals[f"distinct_{without}_{c}"] * base) / types[c] if types[c] else base) + floor
-        seen = left[:, c]
+        low = base if not types[c] else (np.maximum(of(4 + c, asked.word) - DISCOUNT, 0) + DISCOUNT * totals[f"distinct_{without}_{c}"] * base) / types[c]
+        low = low + floor
+        seen = of(c, asked.left)
         there = np.maximum(seen, 1)
-        high = np.maximum(pair[:, c] - DISCOUNT, 0) / there + np.minimum(DISCOUNT * left[:, 2 + c] / there, 1) * low
+        high = np.maximum(of(c, asked.pair) - DISCOUNT, 0) / there + np.minimum(DISCOUNT * of(2 + c, asked.left) / there, 1) * low
         logs.append(np.log(np.maximum(np.where(seen > 0, high, low), 1e-30)))
         lows.append(np.log(low))
     run = [np.concatenate([[0.0], np.cumsum(x)]) for x in (logs[1] - logs[0], lows[1] - lows[0])]
