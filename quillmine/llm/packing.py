@@ -12,10 +12,14 @@ are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,11 @@ LEAST_GROUPS = 16
 SLACK, GROUPS_AGAIN = 1 / 32, 1024
 #: Words whose ids a Python worker keeps; others are tokenised each time.
 MEMO_WORDS = 500_000
+#: Printable ASCII and Latin letters, which have one lower-case form each and stand composed already.
+PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+#: Byte-level vocabularies write a byte as itself if Latin-1 prints it, and the others, in order, from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512), strict=False))
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -44,14 +53,44 @@ class Encoder:
     """Ids of a text as little-endian 32-bit bytes.
 
     The tokenizer never joins characters across ASCII spaces or line breaks, so a text's ids are those of
-    its words in turn; the ids of words met before are looked up.
+    its words in turn; the ids of words met before are looked up. A plain word (Latin letters, ASCII) is split into the
+    tokenizer's own parts, which its model names singly; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.split = self._plain_split()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)")
+
+    def _plain_split(self) -> regex.Pattern | None:
+        """The pattern of the parts that the model names one by one, if the tokenizer only lower-cases and splits plain words."""
+        said = json.loads(self.tokenizer.to_str())
+        steps, cuts = ((said[k] or {}).get(inner, []) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        plain = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
+        if not plain or not any(s["type"] == "Lowercase" for s in steps) or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or said["model"]["type"] != "BPE":
+            return None
+        cut, level = cuts
+        whole = cut["invert"] and cut["behavior"] == "Removed" and not level["add_prefix_space"] and not level["use_regex"]
+        return regex.compile(cut["pattern"]["Regex"]) if whole and "Regex" in cut["pattern"] else None
+
+    def _ids(self, word: str) -> bytes:
+        if self.split is None or not PLAIN.fullmatch(word) or self.added.search(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out, known = b"", self.parts
+        for part in self.split.findall(word.lower()):
+            ids = known.get(part)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+                if len(known) < MEMO_WORDS and len(part) <= 40:
+                    known[part] = ids
+            out += ids
+        return out
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -65,7 +104,7 @@ class Encoder:
         if None in found:
             new = dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)
             for w in new:
-                new[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if w else b""
+                new[w] = self._ids(w) if w else b""
             found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
             if len(self.memo) < MEMO_WORDS:
                 self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 40)
