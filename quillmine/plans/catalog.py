@@ -3,3 +3,4 @@
 import quillmine.plans.extended  # noqa: F401
 import quillmine.plans.reference  # noqa: F401
 import quillmine.plans.review  # noqa: F401
+import quillmine.plans.structure  # noqa: F401
