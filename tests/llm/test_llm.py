@@ -134,6 +134,32 @@ def test_media_finds_crops(spark):
     assert {(r.query_id, r.id) for r in found} == {(0, 0), (20, 20)}
 
 
+def turned(image, scale, degrees):
+    """The image resized and turned about its middle, by bilinear sampling."""
+    n, middle = int(image.shape[0] * scale), (image.shape[0] - 1) / 2
+    yy, xx = np.mgrid[:n, :n] - (n - 1) / 2
+    z = (xx + 1j * yy) / scale * np.exp(-1j * np.radians(degrees)) + middle * (1 + 1j)
+    low = [np.clip(np.floor(c).astype(int), 0, image.shape[0] - 2) for c in (z.imag, z.real)]
+    fy, fx = z.imag - low[0], z.real - low[1]
+    at = lambda dy, dx: image[low[0] + dy, low[1] + dx]
+    out = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return np.where((fx >= 0) & (fx <= 1) & (fy >= 0) & (fy <= 1), out, 0)
+
+
+def test_media_finds_turned_and_resized(spark):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.random(64)]) for i in range(24)], "vec_id long, embedding array<double>")
+    images = media.render(vectors)
+    edits = [(1.0, 90), (1.0, 20), (1.25, 0), (0.7, 0), (1.2, 35), (1.4, 200)]
+    rows = {r.id: media.decode(r.image) for r in images.where("id < 12").collect()}
+    edited = [(1000 + i, media.encode(turned(rows[i], *edits[i % 6]))) for i in range(12)] + [(2000, None), (2001, b"P5\n9"), (2002, media.encode(np.full((64, 64), 7.0)))]
+    found = media.copies(spark.createDataFrame(edited, "id long, image binary"), images).collect()
+    assert {(r.query_id, r.id) for r in found} == {(1000 + i, i) for i in range(12)}
+    for r in found:
+        scale, degrees = edits[r.id % 6]
+        assert abs(r.scale * scale - 1) < 0.05 and abs((r.turn + degrees + 180) % 360 - 180) < 3
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert substrings.dedup(empty).count() == 0
