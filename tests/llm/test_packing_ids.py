@@ -23,3 +23,14 @@ def test_sequences_hold_their_ids(spark, tmp_path):
     digests = queries.QUERIES["op10_packing"](spark, str(tmp_path))
     assert digests.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert sorted(r.ids_crc32 for r in digests.collect()) == sorted(zlib.crc32(np.asarray(t, "<u4").tobytes()) for t in want)
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x250), 0x130, 0x3A3, 0x301, 0x4E2D, 0x1F600)]
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(3000)]
+    words += ["I'LL", "don't", "<|endoftext|>", "x<|startoftext|>y", "İx", "ΟΔΟΣ", "é", "a\x0bb", "\x00", "x" * 5000]
+    encode = packing.Encoder(packing.default_tokenizer())
+    assert encode.split is not None
+    for text in [*words, " ".join(words), "a\n b\t\r c", ""]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
