@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm import fingerprints, language, media, mixing, packing, pii, simhash, substrings, toxicity, warc
+from quillmine.llm import alignment, fingerprints, importance, language, media, mixing, packing, pii, sharding, simhash, substrings, toxicity, warc
 from quillmine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,24 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited copies of every 20th vector's image, searched among the images of all."""
     vectors = table(spark, sf_dir, "embeddings")
     return media.copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
+
+
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE_SQL["op12_importance"] = importance.SQL
+
+
+@_query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.manifest(table(spark, sf_dir, "documents"))
+    law = [F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")]
+    return rows.select("doc_id", "size", "text_crc32", *law, "shard", "slot", "virtual_slot", "map_version")
