@@ -20,7 +20,11 @@ Other columns are ignored, whatever their names. Ties for a B id's highest count
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +37,16 @@ from quillmine.llm.common import mapped, materialize
 from quillmine.llm.packing import BYTE_LEVEL
 
 #: Bytes of text that are aligned together.
-CHUNK_BYTES = 8 << 20
-#: Segments whose alignment a Python worker keeps, and their greatest length; others are aligned each time.
-MEMO_SEGMENTS, MEMO_LENGTH = 200_000, 40
+CHUNK_BYTES = 4 << 20
+#: Segments whose tokens a Python worker keeps, and their greatest length; others are encoded each time.
+MEMO_SEGMENTS, MEMO_LENGTH = 150_000, 40
+#: Longer segments are encoded by the tokenizers library, whose time does not grow with a segment's square.
+LONG = 2048
 #: A pair of ids is one number: a * PAIR + b.
 PAIR = 1 << 32
 SPACE = "▁"
+#: A space after white space, at the beginning or at the end.
+IRREGULAR = re.compile(r"(?:^|\s) | $")
 
 _ALIGNERS: dict[tuple, Aligner] = {}
 
@@ -50,7 +58,11 @@ def default_tokenizers() -> tuple[str, str]:
 
 
 class ByteTokens:
-    """A byte-level vocabulary of the tokenizers library."""
+    """A byte-level vocabulary of the tokenizers library.
+
+    Where merges come in the order of the ids that they make, an entry's id is its rank, and tiktoken, which
+    knows entries by rank, gives the same ids several times faster (a test compares both).
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,15 +70,28 @@ class ByteTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         said = json.loads(self.tokenizer.to_str())
-        cut = said["pre_tokenizer"] or {}
-        self.splits = said["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and all(t["special"] for t in said["added_tokens"])
+        cut, model = said["pre_tokenizer"] or {}, said["model"]
+        special = {t["content"] for t in said["added_tokens"] if t["special"]}
+        self.splits = said["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and len(special) == len(said["added_tokens"])
         byte = {code: b for b, code in BYTE_LEVEL.items()}
         n = self.tokenizer.get_vocab_size()
         self.bytes = [bytes(byte.get(ord(c), ord(c)) for c in self.tokenizer.id_to_token(i) or "") for i in range(n)]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.ranked = self._ranked(special, model["vocab"]) if self.splits and made == sorted(made) else None
+
+    def _ranked(self, special: set[str], vocab: dict[str, int]):
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with a space."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.ranked is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        short = self.ranked.encode_ordinary
+        return [short(t) if len(t) <= LONG else self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 class PieceTokens:
@@ -81,7 +106,8 @@ class PieceTokens:
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+        """Ids of texts without the space that they are led by."""
+        return self.model.encode(texts, num_threads=1)
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,15 +124,23 @@ def products(group_a: np.ndarray, group_b: np.ndarray, groups: int) -> tuple[np.
     return (np.cumsum(na) - na)[of] + nth // nb[of], (np.cumsum(nb) - nb)[of] + nth % nb[of]
 
 
+class Aligned:
+    """The alignment of segments that stand one after another: figures and texts of the groups of each, links and ends of groups of all."""
+
+    def __init__(self, figures: np.ndarray, links: np.ndarray, groups: list[str], ends: np.ndarray):
+        self.figures, self.links, self.groups, self.ends = figures, links, groups, ends
+
+
 class Aligner:
-    """Alignments of segments: (n_a, n_b, n_groups, n_links, links, text of the groups, ends of the groups), or None if bytes differ."""
+    """Aligns segments; figures are n_a, n_b, n_groups and n_links."""
 
     def __init__(self, a: str, b: str, links: str):
         self.a, self.b, self.links = ByteTokens(a), PieceTokens(b), links
         self.size_a, self.size_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
         self.names = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
         self.splits = self.a.splits and self.b.splits
-        self.memo: dict[str, tuple | None] = {}
+        #: Ids of both sides as 32-bit bytes, or None where their bytes differ from the segment.
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
     @classmethod
     def at(cls, *key: str) -> Aligner:
@@ -115,66 +149,68 @@ class Aligner:
         return _ALIGNERS[key]
 
     def segments(self, text: str) -> list[str]:
-        """The space-led text, cut before each space that follows anything but white space."""
+        """The space-led text, cut before each space that follows anything but white space; without their first spaces."""
         if not self.splits:
-            return [" " + text]
+            return [text]
         parts = text.split(" ")
-        if all(p and not p[-1].isspace() for p in parts):
-            return [" " + p for p in parts]
-        out, held = [], ""
+        if not IRREGULAR.search(text):
+            return parts
+        out, held = [], None
         for p in parts:
-            held += " " + p
+            held = p if held is None else f"{held} {p}"
             if p and not p[-1].isspace():
                 out.append(held)
-                held = ""
-        return [*out, held] if held else out
-
-    def __call__(self, segments: list[str]) -> list[tuple | None]:
-        found = {s: self.memo[s] for s in segments if s in self.memo}
-        new = [s for s in segments if s not in found]
+                held = None
+        if held == "" and out:  # a lone space at the end: B puts none before an empty text
+            out[-1] += " "
+            held = None
+        return out if held is None else [*out, held]
+
+    def tokens(self, segments: list[str]) -> list[tuple[bytes, bytes] | None]:
+        memo = self.memo
+        new = [s for s in segments if s not in memo]
+        made: dict[str, tuple[bytes, bytes] | None] = {}
         if new:
-            made = dict(zip(new, self._aligned(new), strict=True))
-            found |= made
-            if len(self.memo) < MEMO_SEGMENTS:
-                self.memo.update((s, x) for s, x in made.items() if len(s) <= MEMO_LENGTH)
-        return [found[s] for s in segments]
-
-    def _aligned(self, segments: list[str]) -> list[tuple | None]:
-        ids_a, ids_b = self.a.encode(segments), self.b.encode(segments)
-        known_a, known_b = self.a.bytes, self.b.bytes
-        same = [b"".join([known_a[i] for i in a]) == b"".join([known_b[i] for i in b]) == s.encode() for s, a, b in zip(segments, ids_a, ids_b, strict=True)]
-        out: list[tuple | None] = [None] * len(segments)
-        right = [i for i, ok in enumerate(same) if ok]
-        if not right:
-            return out
-        a, b = (np.array([t for i in right for t in ids[i]], np.int64) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(ids[i]) for i in right], np.int64) for ids in (ids_a, ids_b))
+            ids_a, ids_b = self.a.encode([" " + s for s in new]), self.b.encode(new)
+            known_a, known_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
+            for s, a, b in zip(new, ids_a, ids_b, strict=True):
+                same = b"".join(map(known_a, a)) == b"".join(map(known_b, b)) == b" " + s.encode()
+                made[s] = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+            if len(memo) < MEMO_SEGMENTS:
+                memo.update((s, x) for s, x in made.items() if len(s) <= MEMO_LENGTH)
+        return [made[s] if s in made else memo[s] for s in segments]
+
+    def __call__(self, tokens: list[tuple[bytes, bytes] | None]) -> Aligned:
+        """The alignment of segments from their tokens; those without have none."""
+        some = [t or (b"", b"") for t in tokens]
+        sides = [[t[k] for t in some] for k in (0, 1)]
+        n_a, n_b = (np.array([len(x) >> 2 for x in side], np.int64) for side in sides)
+        a, b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in sides)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         own_a, own_b, shared = intervals(ends_a, ends_b)
         group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         if self.links == "product":
             own_a, own_b = products(group_a, group_b, len(shared))
         links = a[own_a] * PAIR + b[own_b]
+        # Both sides end a token where a segment ends; links and groups come in the order of their A tokens.
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
-        last_link = np.searchsorted(own_a, last_a)  # links come in the order of their A tokens
-        last_group = group_a[last_a - 1] + 1
+        last_link = np.searchsorted(own_a, last_a)
+        last_group = np.concatenate([[0], group_a + 1])[last_a]
         # Tokens in the order of the groups' text, A before B, with what follows each.
-        per_a, per_b = np.bincount(group_a), np.bincount(group_b)
+        per_a, per_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
         place_a = np.arange(len(a)) + (np.cumsum(per_b) - per_b)[group_a]
         place_b = np.arange(len(b)) + np.cumsum(per_a)[group_b]
-        order, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ",", "<U1")
+        order, after = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ",", "<U1")
         order[place_a], order[place_b] = a, b
         after[place_a[np.cumsum(per_a) - 1]], after[place_b[np.cumsum(per_b) - 1]] = "|", ";"
-        after[last_a + last_b - 1] = ""
-        names, told = self.names, after.tolist()
-        words = [names[i] + t for i, t in zip(order.tolist(), told, strict=True)]
-        x = y = g = w = start = 0
-        for nth, i in enumerate(right):
-            y, h, v = int(last_link[nth]), int(last_group[nth]), int(last_a[nth] + last_b[nth])
-            end = int(shared[h - 1])
-            out[i] = (int(n_a[nth]), int(n_b[nth]), h - g, y - x, links[x:y].tobytes(), "".join(words[w:v]), (shared[g:h] - start).astype(np.int32).tobytes())
-            x, g, w, start = y, h, v, end
-        return out
+        names = self.names
+        words = [names[i] + t for i, t in zip(order.tolist(), after.tolist(), strict=True)]
+        stops = (last_a + last_b).tolist()
+        groups = ["".join(words[w:v]) for w, v in zip([0, *stops[:-1]], stops, strict=True)]
+        zero = np.zeros(1, np.int64)
+        figures = np.stack([n_a, n_b, np.diff(np.concatenate([zero, last_group])), np.diff(np.concatenate([zero, last_link]))])
+        size = np.concatenate([zero, ends_a])[last_a]
+        return Aligned(figures, links, groups, shared - np.repeat(np.concatenate([zero, size[:-1]]), figures[2]))
 
 
 ALIGNED = (
@@ -185,47 +221,44 @@ ALIGNED = (
 
 def _chunk(aligner: Aligner, chunk: int, ids: list, texts: list, whole: bool) -> pa.RecordBatch:
     """The rows of a chunk's documents, and one row of its pairs and of the pairs of each segment."""
-    number: dict[str, int] = {}
-    put = number.setdefault
-    cut = [[put(s, len(number)) for s in aligner.segments(t)] if t else [] for t in texts]
-    found = aligner(list(number))
-    if None in found:
-        bad = {i for i, x in enumerate(found) if x is None}
+    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    put = number.__getitem__
+    cut = [list(map(put, aligner.segments(t))) if t else [] for t in texts]
+    tokens = aligner.tokens(list(number))
+    bad = {i for i, x in enumerate(tokens) if x is None}
+    if bad:
         for d, segments in enumerate(cut):
             if not bad.isdisjoint(segments):
                 # Bytes of one segment differ; whether those of the text do is decided on the whole.
-                text = " " + texts[d]
-                if text not in number:
-                    put(text, len(number))
-                    found += aligner([text])
-                cut[d] = [] if found[number[text]] is None else [number[text]]
-    none = (0, 0, 0, 0, b"", "", b"")
-    found = [x or none for x in found]
-    flat = np.fromiter((i for c in cut for i in c), np.int32)
+                found = put(texts[d])
+                if found == len(tokens):
+                    tokens += aligner.tokens([texts[d]])
+                cut[d] = [] if tokens[found] is None else [found]
+    done = aligner(tokens)
+    flat = np.fromiter(itertools.chain.from_iterable(cut), np.int32)
     ends = np.cumsum([len(c) for c in cut])
+    starts = np.concatenate([[0], ends[:-1]])
     figures = []
-    for k in range(4):
-        sums = np.concatenate([[0], np.cumsum(np.array([x[k] for x in found] or [0], np.int64)[flat])])
-        figures.append(sums[ends] - sums[np.concatenate([[0], ends[:-1]])])
-    text_of = [x[5] for x in found]
-    told = [";".join([text_of[i] for i in c]) for c in cut]
+    for f in done.figures:
+        sums = np.concatenate([[0], np.cumsum(f[flat])])
+        figures.append((sums[ends] - sums[starts]).tolist())
+    told = ["".join(map(done.groups.__getitem__, c))[:-1] for c in cut]
     digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in told]
-    links = np.frombuffer(b"".join([x[4] for x in found]), np.int64)
-    counts = np.array([x[3] for x in found], np.int32)
-    pairs, which = np.unique(links, return_inverse=True)
-    times = np.bincount(flat, minlength=len(found))
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, which, np.repeat(times, counts))
-    group_ends = [None] * len(cut)
+    counts = done.figures[3].astype(np.int32)
+    pairs, which = np.unique(done.links, return_inverse=True)
+    times = np.bincount(flat, minlength=len(counts))
+    total = np.bincount(which, np.repeat(times, counts), len(pairs)).astype(np.int64)
+    group_ends: list = [None] * len(cut)
     if whole:
+        per_segment = np.split(done.ends, np.cumsum(done.figures[2])[:-1])
         for d, c in enumerate(cut):
-            parts = [np.frombuffer(found[i][6], np.int32) for i in c]
-            base = np.cumsum([0] + [int(p[-1]) for p in parts[:-1]]) if parts else []
-            group_ends[d] = np.concatenate([p + s for p, s in zip(parts, base, strict=True)]).tolist() if parts else []
-    n = len(cut)
+            parts = [per_segment[i] for i in c]
+            base = itertools.accumulate([0, *(int(p[-1]) for p in parts[:-1])])
+            group_ends[d] = np.concatenate([p + s for p, s in zip(parts, base, strict=False)]).tolist() if parts else []
     segments = [np.array(c, np.int32).tobytes() for c in cut]
+    n = len(cut)
     columns = [
-        pa.array([chunk] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()), *[pa.array([*f.tolist(), None], pa.int64()) for f in figures],
+        pa.array([chunk] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()), *[pa.array([*f, None], pa.int64()) for f in figures],
         pa.array([*(told if whole else [None] * n), None], pa.string()), pa.array([*digests, None], pa.string()), pa.array([*group_ends, None], pa.list_(pa.int32())),
         pa.array([*segments, None], pa.binary()), pa.array([None] * n + [pairs], pa.list_(pa.int64())), pa.array([None] * n + [total], pa.list_(pa.int64())),
         pa.array([None] * n + [which.astype(np.int32).tobytes()], pa.binary()), pa.array([None] * n + [counts.tobytes()], pa.binary()),
