@@ -206,11 +206,11 @@ class Aligner:
         names = self.names
         words = [names[i] + t for i, t in zip(order.tolist(), after.tolist(), strict=True)]
         stops = (last_a + last_b).tolist()
-        groups = ["".join(words[w:v]) for w, v in zip([0, *stops[:-1]], stops, strict=True)]
+        groups = ["".join(words[w:v]) for w, v in zip([0, *stops], stops, strict=False)]
         zero = np.zeros(1, np.int64)
         figures = np.stack([n_a, n_b, np.diff(np.concatenate([zero, last_group])), np.diff(np.concatenate([zero, last_link]))])
-        size = np.concatenate([zero, ends_a])[last_a]
-        return Aligned(figures, links, groups, shared - np.repeat(np.concatenate([zero, size[:-1]]), figures[2]))
+        start = np.concatenate([zero, ends_a])[last_a - n_a]
+        return Aligned(figures, links, groups, shared - np.repeat(start, figures[2]))
 
 
 ALIGNED = (
