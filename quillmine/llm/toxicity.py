@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -236,14 +237,16 @@ class Model:
         buckets, at = self.buckets, docs.columns.index("text")
         width = WIDTH if folds else 7
 
-        def question(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def question(held: list[pa.RecordBatch], nth: int) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             keys = Asked(rows.column(at).to_pylist()).keys
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
             block = sink.getvalue().to_pybytes()
-            chunk = CHUNKS_FROM + (xxhash.xxh3_64_intdigest(block) >> 2)
+            # Chunks alike in content but from other places are chunks of their own.
+            place = TaskContext.get().partitionId() << 32 | nth
+            chunk = CHUNKS_FROM + (xxhash.xxh3_64_intdigest(block, place) >> 2)
             found, first = _bucketed(keys, buckets)
             parts = [_keys_out(np.unique(_marks(keys[a:b], buckets))) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] if len(keys) else []
             to = [*(found.tolist() if parts else []), chunk]
@@ -252,16 +255,16 @@ class Model:
             )
 
         def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
+            held, size, nth = [], 0, 0
             for batch in batches:
                 if batch.num_rows:
                     held.append(batch)
                     size += batch.column(at).nbytes
                 if size >= CHUNK_BYTES:
-                    yield question(held)
-                    held, size = [], 0
+                    yield question(held, nth)
+                    held, size, nth = [], 0, nth + 1
             if held:
-                yield question(held)
+                yield question(held, nth)
 
         def answer(asks: pa.Table, rows: pa.Table) -> pa.Table:
             """(to, bucket, nth, rest, vals): of the keys of this bucket that fit a chunk's marks, which mark they fit and their bits after it."""
@@ -282,9 +285,9 @@ class Model:
 
         def judged(asks: pa.Table, answers: pa.Table) -> pa.Table:
             found = [pa.ipc.open_stream(b).read_all() for b in asks["docs"].to_pylist() if b is not None]
-            if not found:
-                return empty
-            rows = found[0]
+            return pa.concat_tables([judged_one(rows, answers) for rows in found]) if found else empty
+
+        def judged_one(rows: pa.Table, answers: pa.Table) -> pa.Table:
             asked = Asked(rows.column(at).to_pylist(), places=True)
             values = np.zeros((len(asked.keys), width), np.int64)
             found_in, first = _bucketed(asked.keys, buckets)

@@ -29,3 +29,16 @@ def test_counts_are_not_folded(spark):
         word = found[int(toxicity._key(toxicity.WORD, w[3:4]).view(np.uint64)[0])]
         assert sum(word[1:8:2]) == one[tokens[i][3]]  # it begins a pair wherever it isn't last
         assert word[-1] == sum(t.count(tokens[i][3]) for t in tokens.values())
+
+
+def test_rows_that_repeat_are_scored_each(spark):
+    rows = [(i, f"word{i % 7} good text number {i}" + (" vile slur" if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    one = {r.doc_id: r.toxic_score for r in toxicity.score(docs, model).collect()}
+    twice = toxicity.score(docs.coalesce(1).union(docs.coalesce(1)), model).collect()
+    assert Counter(r.doc_id for r in twice) == Counter({i: 2 for i in range(60)})
+    assert all(r.toxic_score == one[r.doc_id] for r in twice)
+    same = spark.createDataFrame([(1, "equal rows everywhere")] * 40, "doc_id long, text string").repartition(4)
+    assert toxicity.score(same, model).count() == 40
+    assert toxicity.score(same.where("false"), model).count() == 0
