@@ -101,13 +101,23 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their greatest node; single nodes are components of their own.
 
-    The greatest node that reaches each node colours it; of a colour, the nodes that reach its name in turn
-    form a component. Those go, and the rest is coloured again.
+    Nodes that no edge enters or none leaves go first, as long as there are any. The greatest node that reaches
+    each node colours it; of a colour, the nodes that reach its name in turn form a component. Those go, and the
+    rest is coloured again.
     """
     left = rewritten(edges.where("source <> target").select("source", "target").distinct())
     nodes = rewritten(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct())
     done = None
     while not nodes.isEmpty():
+        core = rewritten(left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")), "node", "left_semi"))
+        single = rewritten(nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component")))
+        if not single.isEmpty():
+            done = single if done is None else done.unionByName(single)
+            nodes = core
+            for end in ("source", "target"):
+                left = left.join(core.select(F.col("node").alias(end)), end, "left_semi")
+            left = rewritten(left.select("source", "target"))
+            continue
         colour = _spread(left, nodes.select("node", F.col("node").alias("label"), F.lit(None).cast("string").alias("own")))
         back = left.select(F.col("target").alias("source"), F.col("source").alias("target"))
         inner = back.join(colour.select(F.col("node").alias("source"), F.col("label").alias("x")), "source").join(colour.select(F.col("node").alias("target"), F.col("label").alias("y")), "target")
