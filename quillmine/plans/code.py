@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmine.operators import code_graph
+from quillmine.functions import payloads
+from quillmine.operators import code_graph, file_tree, rules
 from quillmine.plans.registry import query
+from quillmine.sources import blueprints
 from quillmine.sources.tables import load
 
 
@@ -71,3 +73,92 @@ ce AS (SELECT source, target FROM hi WHERE dotted OR imported = (others = 1) UNI
 SELECT 'file:' || file AS source, 'file:' || target AS target, 'IMPORTS' AS type FROM im UNION SELECT declared, fn.id, 'HAS_METHOD' FROM fn JOIN dc ON dc.file = fn.file AND dc.name = fn.parent UNION SELECT * FROM te UNION SELECT source, target, 'CALLS' FROM ce""")
 def _(spark, d):
     return code_graph.edges(parsed_files(spark, d))
+
+
+# Hosts are folders, the rest of an address is a path in them.
+IGNORES = [(".gitignore", "*.html\n!*keep*\n# note\nblog.*\n/m.**/25*\n"), ("www/.gitignore", "x"), ("spam-farm.example.org/.gitignore", "en/\n!en\n7*\n")]
+
+
+def url_tree(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$|/+$", "")
+    blobs = load(spark, d, "pages").select(F.regexp_replace(path, "/+$", "").alias("path")).where("path <> ''").distinct()
+    parts = F.split("path", "/")
+    ups = blobs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).distinct()
+    return blobs.withColumn("type", F.lit("blob")).unionByName(ups.withColumn("type", F.lit("tree")))
+
+
+@query("s6_visible_tree", r"""
+WITH b AS (SELECT DISTINCT rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS path FROM pages), bl AS (SELECT path, 'blob' AS type FROM b WHERE path <> ''),
+t AS (SELECT * FROM bl UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/'), 'tree' FROM bl, range(1, 20) r(i) WHERE i < len(string_split(path, '/'))),
+w AS (SELECT path, type, string_split(path, '/') AS p, i AS k, (type = 'tree' OR i < len(string_split(path, '/'))) AS folder FROM t, range(1, 20) r(i) WHERE i <= len(string_split(path, '/'))),
+m AS (SELECT path, type, 1 AS place, false AS negated FROM w WHERE regexp_full_match(p[k], '[^/]*\.html') UNION ALL SELECT path, type, 2, true FROM w WHERE regexp_full_match(p[k], '[^/]*keep[^/]*')
+ UNION ALL SELECT path, type, 3, false FROM w WHERE regexp_full_match(p[k], 'blog\.[^/]*') UNION ALL SELECT path, type, 4, false FROM w WHERE regexp_full_match(array_to_string(p[1:k], '/'), 'm\..*/25[^/]*')
+ UNION ALL SELECT path, type, 5, false FROM w WHERE p[1] = 'spam-farm.example.org' AND k > 1 AND folder AND p[k] = 'en' UNION ALL SELECT path, type, 6, true FROM w WHERE p[1] = 'spam-farm.example.org' AND k > 1 AND p[k] = 'en'
+ UNION ALL SELECT path, type, 7, false FROM w WHERE p[1] = 'spam-farm.example.org' AND k > 1 AND regexp_full_match(p[k], '7[^/]*')),
+g AS (SELECT path, type, arg_max(negated, place) AS negated FROM m GROUP BY 1, 2),
+v AS (SELECT t.* FROM t LEFT JOIN g USING (path, type) WHERE coalesce(g.negated, true))
+SELECT path, type FROM v WHERE type = 'blob' OR EXISTS (SELECT 1 FROM v x WHERE starts_with(x.path, v.path || '/'))""")
+def _(spark, d):
+    return file_tree.visible_tree(url_tree(spark, d), spark.createDataFrame(IGNORES, "path string, content string"))
+
+
+@query("s2_incremental_scan", r"""
+WITH h AS (SELECT source AS repository, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' ELSE '.txt' END AS path, text FROM documents),
+b AS (SELECT source AS repository, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' ELSE '.txt' END AS path, CASE WHEN lang = 'en' THEN text ELSE 'old ' || text END AS text FROM documents)
+SELECT repository, CASE split_part(path, '.', 2) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' ELSE 'go' END AS language, count(*) AS files, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))) AS BIGINT) AS loc
+FROM h WHERE NOT path LIKE '%.txt' AND NOT EXISTS (SELECT 1 FROM b WHERE b.repository = h.repository AND b.path = h.path AND b.text = h.text) GROUP BY 1, 2""")
+def _(spark, d):
+    end = F.element_at(F.array(*map(F.lit, (".py", ".ts", ".go", ".txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    head = load(spark, d, "documents").select(F.col("source").alias("repository"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), end).alias("path"), "text", "lang")
+    base = head.withColumn("text", F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat(F.lit("old "), "text")))
+    return file_tree.scan_totals(file_tree.scanned(file_tree.changed_files(base, head.drop("lang")))).drop("nodes", "edges")
+
+
+@query("x11_canonical", r"""SELECT event_id, '{"a":[{"t":"' || event_type || '","u":' || user_id || '}],"k":' || json_extract_string(props, '$.k') || '}' AS body FROM events""")
+def _(spark, d):
+    mixed = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "a": [ {"u": '), F.col("user_id").cast("string"), F.lit(', "t": "'), "event_type", F.lit('"} ]}'))
+    return load(spark, d, "events").select("event_id", payloads.canonical(mixed).alias("body"))
+
+
+@query("x11_marked_dates", r"""SELECT o_orderkey, '{"id":' || o_orderkey || ',"seen":[{"at":{"$date":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') || '"}}]}' AS body FROM orders""")
+def _(spark, d):
+    rows = load(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.array(F.struct(F.col("o_orderdate").alias("at"))).alias("seen")).alias("v"))
+    kind = rows.schema["v"].dataType
+    # Written, read and written again.
+    body = payloads.serialized(F.col("v"), kind)
+    return rows.select("o_orderkey", payloads.serialized(payloads.deserialized(body, kind), kind).alias("body"))
+
+
+@query("s14_blueprint_rules", """
+SELECT n_regionkey AS id, least(n_name, r_name) AS source, greatest(n_name, r_name) AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'allow' ELSE 'forbid' END AS mode
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 3""")
+def _(spark, d):
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rule = F.struct(F.least("n_name", "r_name").alias("source"), F.greatest("n_name", "r_name").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "allow").otherwise("forbid").alias("mode"))
+    name = F.struct(F.concat(F.lit(" "), "n_name").alias("name"), F.array("r_name").alias("allow"))
+    held = n.groupBy(F.col("n_regionkey").alias("id"), "r_name").agg(F.collect_list(rule).alias("rules"), F.collect_list(name).alias("layers"))
+    layers = F.concat("layers", F.array(F.struct(F.col("r_name").alias("name"), F.array().cast("array<string>").alias("allow"))))
+    # One blueprint has no version that counts.
+    text = F.to_json(F.struct(F.when(F.col("id") == 3, 0.5).otherwise(1.0).alias("version"), layers.alias("layers"), "rules"))
+    return blueprints.parse_blueprints(held.select("id", text.alias("text"))).rules
+
+
+@query("p2_rule_dispatch", r"""
+WITH f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT rule, CAST(count(*) AS BIGINT) AS findings, count(DISTINCT doc_id) AS files, CAST(sum(n) AS BIGINT) AS lines FROM
+ (SELECT 'worthless' AS rule, doc_id, n FROM f WHERE contains(line, 'worthless') UNION ALL SELECT 'numbers', doc_id, n FROM f WHERE regexp_matches(line, '[0-9]{4,}') UNION ALL SELECT 'wide', doc_id, n FROM f WHERE length(line) > 400) GROUP BY 1""")
+def _(spark, d):
+    kinds = [("worthless", "REGEX", "Word", "worthless", "HIGH"), ("numbers", "REGEX", "Numbers", "[0-9]{4,}", "LOW"), ("wide", "AST", "Wide", "400", "MEDIUM"), ("tone", "PROMPT", "Tone", "be kind", "LOW")]
+
+    def wide(path: str, content: str, rule: str):
+        return [(n, n, f"more than {rule}", None) for n, line in enumerate(content.split("\n"), 1) if len(line) > int(rule)]
+
+    given = spark.createDataFrame(kinds, "id string, type string, title string, rule string, severity string")
+    found = rules.dispatch(load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")), given, wide)
+    return found.groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("files"), F.sum("line_start").alias("lines"))
+
+
+@query("x14_embeddings", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS size, CAST(length(replace(text, 'e', 'ee')) - length(text) AS DOUBLE) AS es FROM documents")
+def _(spark, d):
+    found = rules.embedded(load(spark, d, "documents").select("doc_id", "text"), lambda texts: [[len(t), t.count("e")] for t in texts])
+    return found.select("doc_id", F.col("embedding")[0].alias("size"), F.col("embedding")[1].alias("es"))
