@@ -23,13 +23,27 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def cost_by_model(usage: DataFrame, prices: dict[str, float], default: float) -> DataFrame:
-    """Tokens and cost of each model; usage has model and tokens, prices are those of a thousand tokens."""
-    price = F.lit(default)
-    for model, own in prices.items():
-        price = F.when(F.col("model") == model, own).otherwise(price)
-    cost = F.sum(F.col("tokens") / 1000.0 * price)
-    return usage.groupBy("model").agg(F.sum("tokens").alias("tokens"), rounded(cost).alias("cost"))
+def record_cost(prices: dict[str, tuple[float, float, float]], default: tuple[float, float, float]) -> Column:
+    """The cost of one usage (model, input, output, reasoning), to six places; prices are those of a thousand tokens of each kind."""
+    if any(p < 0 for own in (default, *prices.values()) for p in own):
+        raise ValueError("prices must not be negative")
+    cost = F.lit(0.0)
+    for i, kind in enumerate(("input", "output", "reasoning")):
+        price = F.lit(float(default[i]))
+        for model, own in prices.items():
+            price = F.when(F.col("model") == model, float(own[i])).otherwise(price)
+        cost = cost + F.coalesce(kind, F.lit(0)) / 1000.0 * price
+    return rounded(cost, 6)
+
+
+def cost_by_model(usage: DataFrame, prices: dict[str, tuple[float, float, float]], default: tuple[float, float, float]) -> DataFrame:
+    """(model, tokens, cost) of usage (model, input, output, reasoning, total): costs of records, each to six places, added up."""
+    return usage.groupBy("model").agg(F.sum("total").alias("tokens"), rounded(F.sum(record_cost(prices, default)), 6).alias("cost"))
+
+
+def total_cost(by_model: DataFrame) -> DataFrame:
+    """One row: the tokens and cost of all models."""
+    return by_model.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), rounded(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"))
 
 
 def risk(factors: list[Column]) -> tuple[Column, Column]:
@@ -48,29 +62,31 @@ def confidence(bugs: Column, churn: Column, complexity: Column) -> Column:
 def health(violations: DataFrame, models: DataFrame, by: str) -> DataFrame:
     """Coupling, cohesion, layer and model scores of each group, and their mean.
 
-    violations has the group and target; models the group, methods and clean.
+    violations has the group and target; models the group, methods and wrong, the number of its own violations.
     """
     v = violations.groupBy(by).agg(F.countDistinct("target").alias("targets"), F.count("*").alias("violations"))
-    m = models.groupBy(by).agg(F.avg("methods").alias("methods"), F.avg(F.col("clean").cast("double")).alias("clean"))
+    m = models.groupBy(by).agg(F.avg("methods").alias("methods"), (1 - F.sum("wrong") / F.count("*")).alias("clean"))
     rows = m.join(v, by, "full")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     parts = {
         "coupling": clamp(100.0 - none("targets") * TARGET_PENALTY, 0, 100),
         "cohesion": F.when(F.col("methods").isNull(), 100.0).otherwise(clamp(F.col("methods") * METHOD_POINTS, 0, 100)),
         "layers": clamp(100.0 - none("violations") * LAYER_PENALTY, 0, 100),
-        "models": F.when(F.col("clean").isNull(), 100.0).otherwise(F.col("clean") * 100),
+        "models": F.when(F.col("clean").isNull(), 100.0).otherwise(clamp(F.col("clean") * 100, 0, 100)),
     }
     return rows.select(by, *[rounded(x, 2).alias(k) for k, x in parts.items()], rounded(sum(parts.values(), F.lit(0.0)) / 4, 2).alias("overall"))
 
 
 def silos(files: DataFrame, owners: DataFrame) -> DataFrame:
-    """Knowledge risk of each silo: files has silo, file, complexity and churn; owners has file and owner."""
-    own = files.select("silo", "file").join(owners, "file").groupBy("silo").agg(F.countDistinct("owner").alias("contributors"))
+    """Knowledge risk of each silo: files has silo, file, complexity and churn; owners has file and owner. Files without an owner don't count, nor do silos of such."""
+    files = files.join(owners.select("file").distinct(), "file", "left_semi")
+    own = files.select("silo", "file").join(owners.select("file", "owner").distinct(), "file").groupBy("silo").agg(F.countDistinct("owner").alias("contributors"))
     per = files.groupBy("silo").agg(F.count("*").alias("files"), F.sum("complexity").alias("complexity"), F.sum("churn").alias("churn"))
-    n = F.coalesce("contributors", F.lit(0))
+    n = F.col("contributors")
     base = F.when(n <= 1, 65).when(n == 2, 40).otherwise(18)
-    score = base + F.least(F.lit(20), whole(F.col("complexity") / 2)) + F.least(F.lit(14), whole(F.col("churn") * 2))
-    return per.join(own, "silo", "left").select("silo", "files", F.greatest(F.lit(1), n).cast("long").alias("contributors"), clamp(score, 1, 99).cast("long").alias("risk"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    score = base + F.least(F.lit(20), whole(none("complexity") / 2)) + F.least(F.lit(14), whole(none("churn") * 2))
+    return per.join(own, "silo").select("silo", "files", F.greatest(F.lit(1), n).cast("long").alias("contributors"), clamp(score, 1, 99).cast("long").alias("risk"))
 
 
 def refactoring(files: DataFrame, n: int) -> DataFrame:
@@ -96,22 +112,37 @@ def improvement(metrics: DataFrame, by: str) -> DataFrame:
     return metrics.groupBy(by).agg(F.greatest(F.lit(0), whole(F.sum(better / base * 100) / F.greatest(F.count("*"), F.lit(1)))).cast("long").alias("improvement"))
 
 
-def leaderboard(people: DataFrame) -> DataFrame:
-    """Quality, velocity and ownership of each person, and their place by the sum of the three.
+def leaderboard(files: DataFrame, people: DataFrame, ownership: DataFrame) -> DataFrame:
+    """Quality, velocity and ownership of each person in a month, a sprint and a quarter; place goes by the sprint's quality, then name.
 
-    people has person, complexity, churn, bugs (means over files), commits and files.
+    files: file, position, complexity, churn, bugs; people: person, name, commits; ownership: file, person. Files that
+    aren't among files don't count; a person without any is measured by the first file.
     """
+    none = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    measured = files.select("file", *[none(c) for c in ("complexity", "churn", "bugs")])
+    own = ownership.select("file", "person").distinct().join(measured, "file")
+    per = own.groupBy("person").agg(F.count("*").alias("files"), *[F.avg(c).alias(c) for c in ("complexity", "churn", "bugs")])
+    first = files.groupBy().agg(F.min_by(F.struct(*[none(c) for c in ("complexity", "churn", "bugs")]), "position").alias("first"))
+    # One row: the first file.
+    rows = people.join(per, "person", "left").crossJoin(F.broadcast(first))
+    for c in ("complexity", "churn", "bugs"):
+        rows = rows.withColumn(c, F.coalesce(c, F.col(f"first.{c}"), F.lit(0.0)))
+    rows = rows.withColumn("files", F.greatest(F.coalesce("files", F.lit(1)), F.lit(1)))
     to = lambda x: clamp(whole(x), 1, 180).cast("long")
-    rows = people.select(
-        "person", to(100 - F.col("complexity") * 3 - F.col("churn") * 1.2 - F.col("bugs") * 6).alias("quality"),
-        to(F.col("commits") * 1.1 + F.col("files") * 4).alias("velocity"), to(F.col("files") * 12 + F.col("commits") * 0.6).alias("ownership"),
-    )
-    total = F.col("quality") + F.col("velocity") + F.col("ownership")
-    # Places are counted per total, of which there are at most 540, so that no task ranks all people.
-    rows = rows.withColumn("total", total)
-    per = rows.groupBy("total").agg(F.count("*").alias("n"))
-    per = per.select("total", (F.sum("n").over(Window.orderBy(F.desc("total"))) - F.col("n") + 1).alias("place"))
-    return rows.join(F.broadcast(per), "total").select("person", "quality", "velocity", "ownership", "total", "place")
+    month = {
+        "quality": to(100 - F.col("complexity") * 3 - F.col("churn") * 1.2 - F.col("bugs") * 6),
+        "velocity": to(F.col("commits") * 1.1 + F.col("files") * 4), "ownership": to(F.col("files") * 12 + F.col("commits") * 0.6),
+    }
+    rows = rows.select("person", "name", "commits", *[x.alias(f"{k}_month") for k, x in month.items()])
+    more = {"quality": (3 + F.col("commits") / 25, -4), "velocity": (8, -6), "ownership": (4, 10)}
+    names = [n for k in more for n in (f"{k}_month", f"{k}_sprint", f"{k}_quarter")]
+    for k, (sprint, quarter) in more.items():
+        rows = rows.withColumn(f"{k}_sprint", to(F.col(f"{k}_month") + sprint)).withColumn(f"{k}_quarter", to(F.col(f"{k}_month") + quarter))
+    # People are ranked per quality, of which there are 180 at most, so that no task ranks all.
+    sizes = rows.groupBy("quality_sprint").agg(F.count("*").alias("n"))
+    before = sizes.select("quality_sprint", (F.sum("n").over(Window.orderBy(F.desc("quality_sprint"))) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("quality_sprint").orderBy("name", "person"))
+    return rows.withColumn("nth", nth).join(F.broadcast(before), "quality_sprint").select("person", "name", *names, (F.col("before") + F.col("nth")).alias("place"))
 
 
 def scaling(load: Column, replicas: Column, target: float = 120, least: int = 2, most: int = 16, band: float = 0.2) -> tuple[Column, Column]:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Languages by file extension, words that decide, and words that join conditions.
 EXTENSIONS = {
@@ -69,15 +74,80 @@ def cyclomatic(text: Column, language: str) -> Column:
     return F.when(F.regexp_replace(code, r"\s", "") == "", 0).otherwise(1 + n).cast("long")
 
 
-def function_fingerprint(name: Column, parameters: Column, uses: Column) -> Column:
-    """SHA-256 of the normalised signature and the sorted distinct names that a function uses."""
-    plain = F.lower(F.regexp_replace(name, r"\s+", ""))
-    return F.sha2(F.concat_ws("|", plain, parameters.cast("string"), F.array_join(F.array_sort(F.array_distinct(uses)), ",")), 256)
+def signature(parameters: Column, returns: Column) -> Column:
+    """(types)=>type, each trimmed and in lower case; a missing return type is unknown."""
+    return F.concat(F.lit("("), F.array_join(F.transform(parameters, _token), ","), F.lit(")=>"), F.coalesce(_token(returns), F.lit("unknown")))
+
+
+def _token(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+
+
+def _tokens(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(c, _token), lambda t: t != ""))), ",")
+
+
+def function_fingerprint(language: Column, path: Column, name: Column, kind: Column, flags: tuple[Column, Column], parent: Column, lines: tuple[Column, Column], imports: Column, calls: Column, signed: Column) -> tuple[Column, Column]:
+    """(digest of the function, digest of its signature): SHA-256 of what makes a function, in fixed order.
+
+    flags: async and exported; lines: the first and last one; calls: (caller, callee), of which those of other
+    callers don't count; signed: its signature().
+    """
+    own = F.filter(calls, lambda c: (F.coalesce(_token(c["caller"]), F.lit("")) == "") | (_token(c["caller"]) == _token(name)))
+    own_name = F.coalesce(F.nullif(_token(parent), F.lit("")), F.lit("<none>"))
+    span = F.greatest(F.lit(1), lines[1] - lines[0] + 1).cast("string")
+    parts = {
+        "language": _token(language), "filePath": F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "name": _token(name), "kind": _token(kind), "async": flags[0].cast("int").cast("string"), "exported": flags[1].cast("int").cast("string"),
+        "parent": own_name, "lineSpan": span, "imports": _tokens(imports), "calls": _tokens(F.transform(own, lambda c: c["callee"])), "signature": signed,
+    }
+    payload = F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(""))) for k, v in parts.items()])
+    return F.sha2(payload, 256), F.sha2(signed, 256)
+
+
+#: Keys whose values are never shown, what stands instead, and texts that look like an address.
+SENSITIVE = ("password", "token", "authorization", "api_key", "api-key", "secret", "access_token", "refresh_token", "cookie", "set-cookie", "session", "user", "email", "phone", "ip", "code", "snippet", "patch", "diff")
+REDACTED, PERSONAL = "[REDACTED]", r"\S+@\S+\.\S+"
+
+
+def redacted(c: Column, kind: DataType) -> Column:
+    """A value of that type with what is sensitive by its key, at any depth, or by its text, replaced."""
+    if isinstance(kind, StringType):
+        return F.when(c.rlike(PERSONAL), REDACTED).otherwise(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        # Values of one type: what is no text can only be left out.
+        hidden = F.lit(REDACTED) if isinstance(kind.valueType, StringType) else F.lit(None)
+        return F.transform_values(c, lambda k, v: F.when(F.lower(F.trim(k)).isin(*SENSITIVE), hidden).otherwise(redacted(v, kind.valueType)))
+    if isinstance(kind, StructType):
+        fields = [(F.lit(REDACTED) if f.name.strip().lower() in SENSITIVE else redacted(c[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c
+
+
+def redacted_json(text: Column) -> Column:
+    """JSON texts of any shape, redacted alike and written with their keys in order; null if it is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def clean(value, key=None):
+            if key is not None and key.strip().lower() in SENSITIVE:
+                return REDACTED
+            if isinstance(value, str):
+                return REDACTED if re.search(PERSONAL, value) else value
+            if isinstance(value, list):
+                return [clean(x) for x in value]
+            return {k: clean(v, k) for k, v in value.items()} if isinstance(value, dict) else value
+
+        def one(text):
+            try:
+                return None if text is None else json.dumps(clean(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return None
 
+        return pd.Series([one(t) for t in texts], dtype=object)
 
-def redacted(text: Column) -> Column:
-    """Mail addresses become [email], long numbers [number]."""
-    return F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), r"\d{9,}", "[number]")
+    return run(text)
 
 
 def role_score(text: Column, signals: dict[str, tuple[str, ...]]) -> Column:
@@ -95,7 +165,7 @@ def sorted_json(entries: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
 
 
-def day_millis(text: Column) -> Column:
-    """Milliseconds of a date's start; what is no date comes before all dates."""
-    days = F.datediff(F.to_date(F.try_to_timestamp(text)), F.lit("1970-01-01").cast("date"))
-    return F.coalesce(days.cast("long") * 86_400_000, F.lit(-(2**63)))
+def date_millis(text: Column) -> Column:
+    """Milliseconds of a date or a time of day, in UTC where the text names no zone; what is no date comes before all dates."""
+    zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & text.rlike("T"), text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(zoned)), F.lit(-(2**63)))

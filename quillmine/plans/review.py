@@ -24,10 +24,13 @@ def files(spark, d):
     return part.join(line, "file", "left").select("file", "silo", "complexity", zero("n", "churn"), zero("q", "loc"), zero("r", "bugs"))
 
 
-@query("a3_cost_by_model", "SELECT l_returnflag AS model, sum(l_quantity) AS tokens, floor(sum(l_quantity / 1000.0 * CASE l_returnflag WHEN 'A' THEN 0.03 WHEN 'N' THEN 0.01 ELSE 0.02 END) * 10000 + 0.5) / 10000 AS cost FROM lineitem GROUP BY 1")
+@query("a3_cost_by_model", """
+WITH r AS (SELECT l_returnflag AS model, l_quantity AS i, l_linenumber * 10 AS o, l_partkey % 7 AS t FROM lineitem)
+SELECT model, CAST(sum(i + o + t) AS DOUBLE) AS tokens, floor(sum(floor((i / 1000.0 * CASE model WHEN 'A' THEN 0.03 WHEN 'N' THEN 0.01 ELSE 0.02 END + o / 1000.0 * CASE model WHEN 'A' THEN 0.06 WHEN 'N' THEN 0.02 ELSE 0.05 END + t / 1000.0 * CASE model WHEN 'A' THEN 0.09 WHEN 'N' THEN 0.0 ELSE 0.07 END) * 1000000 + 0.5) / 1000000) * 1000000 + 0.5) / 1000000 AS cost FROM r GROUP BY 1""")
 def _(spark, d):
-    usage = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_quantity").alias("tokens"))
-    return scores.cost_by_model(usage, {"A": 0.03, "N": 0.01}, 0.02)
+    kinds = [F.col("l_quantity").alias("input"), (F.col("l_linenumber") * 10).alias("output"), (F.col("l_partkey") % 7).alias("reasoning")]
+    usage = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), *kinds).withColumn("total", F.expr("input + output + reasoning"))
+    return scores.cost_by_model(usage, {"A": (0.03, 0.06, 0.09), "N": (0.01, 0.02, 0.0)}, (0.02, 0.05, 0.07))
 
 
 @query("a15_issue_heatmap", """
@@ -49,15 +52,15 @@ def _(spark, d):
 
 @query("a22_architecture_health", """
 WITH v AS (SELECT n_regionkey AS layer, count(DISTINCT s_suppkey) AS t, count(*) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0 GROUP BY 1),
-m AS (SELECT n_regionkey AS layer, avg(n_nationkey % 7) AS methods, avg(CAST(CASE WHEN n_nationkey % 4 > 0 THEN 1 ELSE 0 END AS DOUBLE)) AS clean FROM nation GROUP BY 1),
+m AS (SELECT n_regionkey AS layer, avg(n_nationkey % 7) AS methods, 1 - sum(CASE n_nationkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS clean FROM nation GROUP BY 1),
 s AS (SELECT coalesce(m.layer, v.layer) AS layer, greatest(0, least(100, 100.0 - coalesce(t, 0) * 4)) AS coupling, CASE WHEN methods IS NULL THEN 100.0 ELSE greatest(0, least(100, methods * 16)) END AS cohesion,
-      greatest(0, least(100, 100.0 - coalesce(v, 0) * 8)) AS layers, CASE WHEN clean IS NULL THEN 100.0 ELSE clean * 100 END AS models FROM m FULL JOIN v ON m.layer = v.layer)
+      greatest(0, least(100, 100.0 - coalesce(v, 0) * 8)) AS layers, CASE WHEN clean IS NULL THEN 100.0 ELSE greatest(0, least(100, clean * 100)) END AS models FROM m FULL JOIN v ON m.layer = v.layer)
 SELECT layer, CAST(floor(coupling * 100 + 0.5) / 100 AS DOUBLE) AS coupling, CAST(floor(cohesion * 100 + 0.5) / 100 AS DOUBLE) AS cohesion, CAST(floor(layers * 100 + 0.5) / 100 AS DOUBLE) AS layers, CAST(floor(models * 100 + 0.5) / 100 AS DOUBLE) AS models,
        CAST(floor((coupling + cohesion + layers + models) / 4 * 100 + 0.5) / 100 AS DOUBLE) AS overall FROM s""")
 def _(spark, d):
     nation = load(spark, d, "nation")
     bad = load(spark, d, "supplier").where("s_acctbal < 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("layer"), F.col("s_suppkey").alias("target"))
-    models = nation.select(F.col("n_regionkey").alias("layer"), (F.col("n_nationkey") % 7).alias("methods"), (F.col("n_nationkey") % 4 > 0).cast("int").alias("clean"))
+    models = nation.select(F.col("n_regionkey").alias("layer"), (F.col("n_nationkey") % 7).alias("methods"), F.expr("case n_nationkey % 4 when 0 then 2 when 1 then 1 else 0 end").alias("wrong"))
     return scores.health(bad, models, "layer")
 
 
@@ -98,14 +101,15 @@ def _(spark, d):
 
 
 @query("x22_silo_risk", f"""
-WITH {FILES}, o AS (SELECT DISTINCT p_brand AS silo, l_suppkey % 3 + p_size % 2 AS owner FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 50 = p_partkey % 50), n AS (SELECT silo, count(*) AS n FROM o GROUP BY 1),
-g AS (SELECT silo, count(*) AS files, sum(complexity) AS c, sum(churn) AS h FROM f GROUP BY 1)
-SELECT silo, files, CAST(greatest(1, coalesce(n, 0)) AS BIGINT) AS contributors,
-       CAST(greatest(1, least(99, CASE WHEN coalesce(n, 0) <= 1 THEN 65 WHEN n = 2 THEN 40 ELSE 18 END + least(20, floor(c / 2 + 0.5)) + least(14, floor(h * 2 + 0.5)))) AS BIGINT) AS risk FROM g LEFT JOIN n USING (silo)""")
+WITH {FILES}, s AS (SELECT file, p_brand || ':' || p_size AS silo, f.complexity, churn FROM f JOIN part ON p_partkey = file), o AS (SELECT DISTINCT l_partkey AS file, l_suppkey % 3 + p_size % 2 AS owner FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT silo, count(DISTINCT owner) AS n FROM s JOIN o USING (file) GROUP BY 1),
+g AS (SELECT silo, count(*) AS files, sum(complexity) AS c, sum(churn) AS h FROM s WHERE file IN (SELECT file FROM o) GROUP BY 1)
+SELECT silo, files, CAST(greatest(1, n) AS BIGINT) AS contributors,
+       CAST(greatest(1, least(99, CASE WHEN n <= 1 THEN 65 WHEN n = 2 THEN 40 ELSE 18 END + least(20, floor(c / 2 + 0.5)) + least(14, floor(h * 2 + 0.5)))) AS BIGINT) AS risk FROM g JOIN n USING (silo)""")
 def _(spark, d):
-    part = load(spark, d, "part").select("p_partkey", "p_size")
-    own = load(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).where("l_suppkey % 50 = p_partkey % 50")
-    return scores.silos(files(spark, d), own.select(F.col("p_partkey").alias("file"), F.expr("l_suppkey % 3 + p_size % 2").alias("owner")))
+    part = load(spark, d, "part").select("p_partkey", "p_size", F.concat_ws(":", "p_brand", "p_size").alias("of"))
+    own = load(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    rows = files(spark, d).join(part, F.col("p_partkey") == F.col("file")).withColumn("silo", F.col("of"))
+    return scores.silos(rows, own.select(F.col("p_partkey").alias("file"), F.expr("l_suppkey % 3 + p_size % 2").alias("owner")))
 
 
 @query("o5_refactoring_targets", f"""
@@ -124,14 +128,20 @@ def _(spark, d):
     return rows.orderBy(F.desc("priority"), F.desc("confidence"), "file").limit(25)
 
 
-@query("o9_leaderboard", """
-WITH p AS (SELECT l_suppkey AS person, avg(p_size) AS complexity, avg(l_quantity) AS churn, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS bugs, count(*) AS commits, count(DISTINCT l_partkey) AS files FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
-s AS (SELECT person, CAST(greatest(1, least(180, floor(100 - complexity * 3 - churn * 1.2 - bugs * 6 + 0.5))) AS BIGINT) AS quality, CAST(greatest(1, least(180, floor(commits * 1.1 + files * 4 + 0.5))) AS BIGINT) AS velocity, CAST(greatest(1, least(180, floor(files * 12 + commits * 0.6 + 0.5))) AS BIGINT) AS ownership FROM p)
-SELECT *, quality + velocity + ownership AS total, rank() OVER (ORDER BY quality + velocity + ownership DESC) AS place FROM s""")
+@query("o9_leaderboard", f"""
+WITH {FILES}, o AS (SELECT DISTINCT l_partkey AS file, l_suppkey AS person FROM lineitem), c AS (SELECT l_suppkey AS person, count(*) AS commits FROM lineitem GROUP BY 1),
+p AS (SELECT s_suppkey AS person, s_name AS name, coalesce(commits, 0) AS commits FROM supplier LEFT JOIN c ON person = s_suppkey),
+w AS (SELECT person, count(*) AS n, avg(complexity) AS x, avg(churn) AS h, avg(bugs) AS b FROM o JOIN f USING (file) GROUP BY 1), z AS (SELECT complexity AS x0, churn AS h0, bugs AS b0 FROM f ORDER BY file LIMIT 1),
+m AS (SELECT person, name, commits, greatest(1, least(180, floor(100 - coalesce(x, x0) * 3 - coalesce(h, h0) * 1.2 - coalesce(b, b0) * 6 + 0.5))) AS q, greatest(1, least(180, floor(commits * 1.1 + coalesce(n, 1) * 4 + 0.5))) AS v, greatest(1, least(180, floor(coalesce(n, 1) * 12 + commits * 0.6 + 0.5))) AS u FROM p LEFT JOIN w USING (person), z),
+s AS (SELECT person, name, CAST(q AS BIGINT) AS quality_month, CAST(greatest(1, least(180, floor(q + (3 + commits / 25) + 0.5))) AS BIGINT) AS quality_sprint, CAST(greatest(1, least(180, q - 4)) AS BIGINT) AS quality_quarter,
+ CAST(v AS BIGINT) AS velocity_month, CAST(greatest(1, least(180, v + 8)) AS BIGINT) AS velocity_sprint, CAST(greatest(1, least(180, v - 6)) AS BIGINT) AS velocity_quarter,
+ CAST(u AS BIGINT) AS ownership_month, CAST(greatest(1, least(180, u + 4)) AS BIGINT) AS ownership_sprint, CAST(greatest(1, least(180, u + 10)) AS BIGINT) AS ownership_quarter FROM m)
+SELECT *, row_number() OVER (ORDER BY quality_sprint DESC, name, person) AS place FROM s""")
 def _(spark, d):
-    line = load(spark, d, "lineitem").join(load(spark, d, "part").select("p_partkey", "p_size"), F.col("p_partkey") == F.col("l_partkey"))
-    people = line.groupBy(F.col("l_suppkey").alias("person")).agg(F.avg("p_size").alias("complexity"), F.avg("l_quantity").alias("churn"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("bugs"), F.count("*").alias("commits"), F.countDistinct("l_partkey").alias("files"))
-    return scores.leaderboard(people)
+    line = load(spark, d, "lineitem")
+    commits = line.groupBy(F.col("l_suppkey").alias("person")).agg(F.count("*").alias("commits"))
+    people = load(spark, d, "supplier").select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name")).join(commits, "person", "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
+    return scores.leaderboard(files(spark, d).withColumn("position", F.col("file")), people, line.select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("person")))
 
 
 @query("w11_forecast", """
@@ -341,10 +351,19 @@ def _(spark, d):
     return load(spark, d, "part").select("p_partkey", source_code.language_of(path, text).alias("language"))
 
 
-@query("x13_fingerprint", "SELECT p_brand, p_size, sha256(lower(regexp_replace(p_brand, '\\s+', '', 'g')) || '|' || p_size || '|' || string_agg(DISTINCT p_type, ',' ORDER BY p_type)) AS digest FROM part GROUP BY 1, 2")
+@query("x13_fingerprint", """
+WITH u AS (SELECT l_partkey, string_agg(DISTINCT lower(l_returnflag || l_linenumber), ',' ORDER BY lower(l_returnflag || l_linenumber)) AS imports, string_agg(DISTINCT lower(l_linestatus), ',' ORDER BY lower(l_linestatus)) FILTER (l_linenumber % 2 = 0) AS calls FROM lineitem GROUP BY 1)
+SELECT p_partkey, sha256('language=go|filePath=src/' || p_partkey || '.go|name=' || lower(p_name) || '|kind=function|async=0|exported=1|parent=' || CASE WHEN p_size % 2 = 0 THEN '<none>' ELSE lower(p_brand) END || '|lineSpan=' || greatest(1, p_size - 9) || '|imports=' || coalesce(imports, '') || '|calls=' || coalesce(calls, '') || '|signature=(' || lower(p_type) || ',int)=>' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE lower(p_brand) END) AS digest,
+ sha256('(' || lower(p_type) || ',int)=>' || CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE lower(p_brand) END) AS signature_digest FROM part LEFT JOIN u ON l_partkey = p_partkey""")
 def _(spark, d):
-    rows = load(spark, d, "part").groupBy("p_brand", "p_size").agg(F.collect_list("p_type").alias("uses"))
-    return rows.select("p_brand", "p_size", source_code.function_fingerprint(F.col("p_brand"), F.col("p_size"), F.col("uses")).alias("digest"))
+    caller = F.when(F.col("l_linenumber") % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("another"))
+    uses = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.concat(F.lit(" "), "l_returnflag", F.col("l_linenumber").cast("string"))).alias("imports"), F.collect_set(F.struct(caller.alias("caller"), F.col("l_linestatus").alias("callee"))).alias("calls"))
+    rows = load(spark, d, "part").join(uses, F.col("l_partkey") == F.col("p_partkey"), "left")
+    signed = source_code.signature(F.array(F.col("p_type"), F.lit(" Int ")), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")))
+    path = F.concat(F.lit("src\\"), F.col("p_partkey").cast("string"), F.lit(".go"))
+    flags = (F.lit(False), F.lit(True))
+    digest, own = source_code.function_fingerprint(F.lit("Go"), path, F.col("p_name"), F.lit("function"), flags, F.when(F.col("p_size") % 2 != 0, F.col("p_brand")), (F.lit(10), F.col("p_size")), F.col("imports"), F.col("calls"), signed)
+    return rows.select("p_partkey", digest.alias("digest"), own.alias("signature_digest"))
 
 
 @query("x15_roles", """
@@ -355,9 +374,22 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", source_code.role_score(text, {"reader": ("the",), "writer": ("sch",), "service": ("que",)}).alias("role"))
 
 
-@query("x16_redaction", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\d{9,}', '[number]', 'g')) AS digest FROM documents")
+@query("x16_redaction", r"""
+SELECT event_id, '{"by":{"Token":"[REDACTED]","note":"' || CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' ELSE event_type END || '"},"n":' || user_id || ',"tags":["' || event_type || '","' || CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE 'u' || user_id END || '"],"user":"[REDACTED]"}' AS body FROM events""")
+def _(spark, d):
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    mail = F.concat(name, F.lit("@mail.example"))
+    inner = F.struct(F.lit("abc").alias("Token"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("ask "), mail)).otherwise(F.col("event_type")).alias("note"))
+    payload = F.struct(inner.alias("by"), F.col("user_id").alias("n"), F.array("event_type", F.when(F.col("event_id") % 2 == 0, mail).otherwise(name)).alias("tags"), F.col("user_id").alias("user"))
+    rows = load(spark, d, "events").select("event_id", payload.alias("v"))
+    return rows.select("event_id", F.to_json(source_code.redacted(F.col("v"), rows.schema["v"].dataType)).alias("body"))
+
+
+@query("x16_redacted_json", r"""
+SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"who":[{"email":"[REDACTED]"},"' || CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE 'x' END || '"]}' AS body FROM events""")
 def _(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.md5(source_code.redacted(F.col("text"))).alias("digest"))
+    text = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "who": [{"email": {"a": 1}}, "'), F.when(F.col("event_id") % 2 == 0, "a@b.c d").otherwise("x"), F.lit('"]}'))
+    return load(spark, d, "events").select("event_id", source_code.redacted_json(text).alias("body"))
 
 
 @query("x23_look_back", "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 90 DAY AS recent FROM orders")
@@ -365,10 +397,11 @@ def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate") >= F.expr("timestamp_ntz '1998-08-02' - interval 90 days")).alias("recent"))
 
 
-@query("x24_date_parse", "SELECT event_id, coalesce(epoch_ms(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END AS TIMESTAMP)), -9223372036854775808) AS ms FROM events")
+@query("x24_date_parse", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN -9223372036854775808 WHEN 1 THEN epoch_ms(date_trunc('day', ts)) WHEN 2 THEN epoch_ms(date_trunc('second', ts)) - 7200000 ELSE epoch_ms(date_trunc('second', ts)) END AS ms FROM events")
 def _(spark, d):
-    text = F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    return load(spark, d, "events").select("event_id", source_code.day_millis(text).alias("ms"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(F.col("event_id") % 4 == 0, "soon").when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 4 == 2, F.concat(time, F.lit("+02:00"))).otherwise(F.concat(time, F.lit("Z")))
+    return load(spark, d, "events").select("event_id", source_code.date_millis(text).alias("ms"))
 
 
 @query("x27_relative_path", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a/' || p_brand WHEN 1 THEN p_brand ELSE 'a/b/' || p_type END AS path FROM part")
