@@ -33,7 +33,7 @@ LEAST_GROUPS = 16
 #: Windows with more free than this part are packed once more, together with those of so many groups.
 SLACK, GROUPS_AGAIN = 1 / 32, 1024
 #: Words whose ids a Python worker keeps; others are tokenised each time.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 #: Printable ASCII and Latin letters, which have one lower-case form each and stand composed already.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
 #: Byte-level vocabularies write a byte as itself if Latin-1 prints it, and the others, in order, from U+0100 on.

@@ -46,7 +46,7 @@ RARE = 5.0
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
 #: Words whose hashes a Python worker keeps; others are hashed each time.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 #: Keys of a bucket on average, buckets at least, and rows that a task gathers before it packs them.
 BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 200_000
 #: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
