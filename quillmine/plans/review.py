@@ -175,12 +175,14 @@ def _(spark, d):
     return review.merged_settings(load(spark, d, "events").select("user_id", F.col("event_type").alias("key"), F.col("event_id").alias("layer"), "value"), "user_id")
 
 
-PATCH = "p AS (SELECT doc_id AS file, text AS patch FROM documents), s AS (SELECT event_id AS id, event_id % 1200 AS file, CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN 'the' ELSE 'schen' END AS code FROM events)"
+PATCH = "p AS (SELECT doc_id AS file, text AS patch FROM documents), s AS (SELECT event_id AS id, event_id % (SELECT count(*) * 6 // 5 FROM documents) AS file, CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN 'the' ELSE 'schen' END AS code FROM events)"
 
 
 def suggestions(spark, d):
     e = F.col("event_id")
-    rows = load(spark, d, "events").select(e.alias("id"), (e % 1200).alias("file"), F.when(e % 7 == 0, " ").when(e % 3 == 0, "the").otherwise("schen").alias("code"))
+    # A fifth more files than there are patches; one row.
+    most = load(spark, d, "documents").agg(F.floor(F.count("*") * 6 / 5).alias("most"))
+    rows = load(spark, d, "events").crossJoin(F.broadcast(most)).select(e.alias("id"), (e % F.col("most")).alias("file"), F.when(e % 7 == 0, " ").when(e % 3 == 0, "the").otherwise("schen").alias("code"))
     return rows, load(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("patch"))
 
 
@@ -308,11 +310,12 @@ def _(spark, d):
     return graphs.strong_components(edges(spark, d))
 
 
-@query("g5_impact", f"""
-WITH RECURSIVE {EDGES}, w AS (SELECT source, target FROM e UNION SELECT target, source FROM e), r AS (SELECT x AS node, 0 AS distance FROM (VALUES (CAST(1 AS BIGINT)), (99999999)) AS t(x) UNION SELECT w.target, distance + 1 FROM r JOIN w ON w.source = r.node WHERE distance < 3)
+@query("g5_impact", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS source, l_partkey * 31 AS target FROM lineitem), w AS (SELECT source, target FROM e UNION SELECT target, source FROM e), r AS (SELECT x AS node, 0 AS distance FROM (VALUES (CAST(1 AS BIGINT)), (99999999)) AS t(x) UNION SELECT w.target, distance + 1 FROM r JOIN w ON w.source = r.node WHERE distance < 3)
 SELECT node, CAST(min(distance) AS INT) AS distance, node IN (SELECT source FROM w) AS known FROM r GROUP BY 1""")
 def _(spark, d):
-    return graphs.impact(edges(spark, d), spark.range(1).select(F.explode(F.array(F.lit(1).cast("long"), F.lit(99_999_999).cast("long"))).alias("node")), 3)
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") * 31).alias("target")).distinct()
+    return graphs.impact(e, spark.range(1).select(F.explode(F.array(F.lit(1).cast("long"), F.lit(99_999_999).cast("long"))).alias("node")), 3)
 
 
 @query("g14_federation", "SELECT 'a:' || n_nationkey AS source, 'a:' || n_regionkey AS target, 'a' AS graph FROM nation UNION ALL SELECT 'b:' || s_suppkey, 'b:' || s_nationkey, 'b' FROM supplier")

@@ -57,9 +57,13 @@ def limited_stream(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
     return calls.groupBy("key").applyInPandasWithState(run, "key long, id long, admitted boolean, retry_after long", "start long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def once_stream(messages: DataFrame, id_column: str, at: str, keep: str) -> DataFrame:
-    """Messages of a stream whose id didn't come before within the time that ids are kept."""
-    return messages.withWatermark(at, keep).dropDuplicatesWithinWatermark([id_column])
+def once_stream(messages: DataFrame, id_column: str | list[str], at: str, keep: str | None = None) -> DataFrame:
+    """Messages of a stream whose id (one column or several) didn't come before: ever, or within the time keep that ids are kept.
+
+    Without keep the answer is exact and the state holds every id there was.
+    """
+    ids = [id_column] if isinstance(id_column, str) else id_column
+    return messages.dropDuplicates(ids) if keep is None else messages.withWatermark(at, keep).dropDuplicatesWithinWatermark(ids)
 
 
 def dead_letters(events: DataFrame, attempts: int) -> DataFrame:

@@ -37,3 +37,10 @@ def test_once(spark, tmp_path):
     parts = [[("a", at(0)), ("b", at(1)), ("a", at(2))], [("b", at(3)), ("c", at(4))]]
     got = replayed(spark, tmp_path, parts, "id string, at timestamp", lambda s: state.once_stream(s, "id", "at", "1 hour"))
     assert sorted(r.id for r in got.collect()) == ["a", "b", "c"]
+
+
+def test_once_for_ever(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    parts = [[("c", "a", at(1)), ("c", "b", at(1)), ("d", "a", at(1))], [("c", "z", at(28))], [("c", "a", at(29)), ("e", "a", at(29))]]
+    got = replayed(spark, tmp_path, parts, "consumer string, id string, at timestamp", lambda s: state.once_stream(s, ["consumer", "id"], "at"))
+    assert sorted((r.consumer, r.id) for r in got.collect()) == [("c", "a"), ("c", "b"), ("c", "z"), ("d", "a"), ("e", "a")]
