@@ -147,3 +147,16 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int = 3, direction: str
     rows = reached(way, changed, depth, both=direction == "both")
     known = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("k", F.lit(True))
     return rows.join(known, "node", "left").select("node", "distance", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+def federated_graphs(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, repository, original_id, other columns) and edges of several graphs (nodes, edges), ids prefixed by the graph's name."""
+    if not graphs:
+        raise ValueError("no graphs")
+    named = lambda name, c: F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))
+    nodes = None
+    for name, (n, _) in graphs.items():
+        rest = [c for c in n.columns if c != "id"]
+        part = n.select(named(name, "id").alias("id"), F.lit(name).alias("repository"), F.col("id").cast("string").alias("original_id"), *rest)
+        nodes = part if nodes is None else nodes.unionByName(part, allowMissingColumns=True)
+    return nodes, federated({name: e for name, (_, e) in graphs.items()})

@@ -112,3 +112,9 @@ def resolved_symbols(uses: DataFrame, candidates: DataFrame, show: int = 3) -> D
     status = F.when(F.col("n").isNull(), "SYMBOL_NOT_FOUND").when((F.col("i") == 1) | (F.col("n") == 1), "RESOLVED").otherwise("AMBIGUOUS")
     target = F.when(F.col("i") == 1, F.col("one")).when(F.col("n") == 1, F.col("any"))
     return rows.select("use", "symbol", status.alias("status"), target.alias("target"), F.when((F.col("n") > 1) & (F.col("i") != 1), F.array_join(F.col("all").cast("array<string>"), ",")).alias("candidates"))
+
+
+def context_gate(files: DataFrame, context: DataFrame, size: int) -> DataFrame:
+    """batches() of the files (file, fingerprint) that are among context (file); of all of them if context is empty."""
+    kept = files if context.isEmpty() else files.join(context.select("file").distinct(), "file", "left_semi")
+    return batches(kept, size)

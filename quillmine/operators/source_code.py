@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-#: Languages by file extension, words that decide, and words that join conditions.
+#: Languages by file name and extension, words that decide, and words that join conditions.
+NAMES = {"gemfile": "ruby", "rakefile": "ruby", "podfile": "ruby", "fastfile": "ruby", "appraisals": "ruby", "brewfile": "ruby", "dangerfile": "ruby"}
 EXTENSIONS = {
     "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "py": "python", "go": "go",
     "java": "java", "cs": "csharp", "rb": "ruby", "rs": "rust", "php": "php", "kt": "kotlin", "kts": "kotlin",
@@ -37,6 +38,25 @@ def language_of(path: Column, text: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(path)), found)
 
 
+def detected_language(path: Column, text: Column, strict: bool = False) -> Column:
+    """Language by the whole file name, else as language_of(); if strict, a file of no known language is an error."""
+    name = F.lower(F.substring_index(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/", -1))
+    table = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    found = F.coalesce(F.try_element_at(table, name), language_of(path, text))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no known language: "), path)).cast("string")) if strict else found
+
+
+def code_lines(language: Column, text: Column) -> Column:
+    """lines_of_code() by each row's own language; null for an unknown one."""
+    hashes = language.isin("python", "ruby")
+    return F.when(language.isNull(), None).when(hashes, lines_of_code(text, True)).otherwise(lines_of_code(text))
+
+
+def normalized_path(path: Column) -> Column:
+    """Trimmed, with slashes one way; null for an empty path."""
+    return F.nullif(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), F.lit(""))
+
+
 def resolved_path(path: Column) -> Column:
     """The path without empty and . parts, .. taking one part back (never above the root)."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmine.functions import payloads
-from quillmine.operators import code_graph, file_tree, rules
+from quillmine.functions import payloads, scalars
+from quillmine.operators import code_graph, file_tree, graphs, review, rules, source_code
 from quillmine.plans.registry import query
 from quillmine.sources import blueprints
 from quillmine.sources.tables import load
@@ -162,3 +162,79 @@ def _(spark, d):
 def _(spark, d):
     found = rules.embedded(load(spark, d, "documents").select("doc_id", "text"), lambda texts: [[len(t), t.count("e")] for t in texts])
     return found.select("doc_id", F.col("embedding")[0].alias("size"), F.col("embedding")[1].alias("es"))
+
+
+@query("j7_import_targets", PARSED + "SELECT a.file, b.file AS target FROM f a JOIN f b ON a.before = b.o")
+def _(spark, d):
+    return code_graph.import_targets(parsed_files(spark, d))
+
+
+@query("x15_semantic_roles", PARSED + """,
+g AS (SELECT 'src/' || CASE o_custkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'utils' WHEN 2 THEN 'application' ELSE 'adapters' END || '/o' || f.o || '.ts' AS file, coalesce(k, 0) AS k, coalesce(i, 0) AS i, coalesce(n, 0) AS n, CASE WHEN before IS NULL THEN 0 ELSE 1 END AS m, o_custkey % 4 AS z
+ FROM f LEFT JOIN (SELECT file, count(*) AS n, count(*) FILTER (n % 3 = 1) AS k, count(*) FILTER (n % 3 = 2) AS i FROM x GROUP BY 1) USING (file)),
+s AS (SELECT file, CASE WHEN z = 3 THEN 3 ELSE 0 END AS a, CASE WHEN z = 0 THEN 3 ELSE 0 END + CASE WHEN k > 0 AND n > 0 THEN 2 ELSE 0 END AS b, CASE WHEN z = 2 THEN 3 ELSE 0 END + CASE WHEN m > 0 AND n > 0 THEN 1 ELSE 0 END AS c, CASE WHEN z = 1 THEN 3 ELSE 0 END + CASE WHEN n >= 3 AND k = 0 THEN 3 ELSE 0 END AS u,
+ CASE WHEN k + n >= 3 THEN 2 ELSE 0 END + CASE WHEN i >= 2 THEN 2 ELSE 0 END + CASE WHEN n = 0 AND k > 0 THEN 1 ELSE 0 END AS p FROM g), t AS (SELECT *, greatest(0, a, b, c, u, p) AS w FROM s), r AS (SELECT *, least(1.0, floor(w / 8 * 100 + 0.5) / 100) AS confidence FROM t)
+SELECT file, CASE WHEN confidence < 0.4 THEN 'UNKNOWN' WHEN a = w THEN 'INFRASTRUCTURE_ADAPTER' WHEN b = w THEN 'DOMAIN_MODEL' WHEN c = w THEN 'APPLICATION_SERVICE' WHEN u = w THEN 'UTILITY_MODULE' ELSE 'API_SURFACE' END AS role, CAST(confidence AS DOUBLE) AS confidence FROM r""")
+def _(spark, d):
+    rows = parsed_files(spark, d)
+    key = F.regexp_extract("filePath", "m([0-9]+)/", 1).cast("long") % 4
+    folder = F.when(key == 0, "domain").when(key == 1, "utils").when(key == 2, "application").otherwise("adapters")
+    rows = rows.withColumn("filePath", F.concat(F.lit("src/"), folder, F.lit("/"), F.substring_index("filePath", "/", -1)))
+    return code_graph.semantic_roles(rows, 0.4).drop("signals")
+
+
+@query("f14_context_gate", "WITH r AS (SELECT p_partkey AS file, p_brand AS fingerprint, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 7 AS batch FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)) SELECT fingerprint, batch, string_agg(CAST(file AS VARCHAR), ',' ORDER BY file) AS files FROM r GROUP BY 1, 2")
+def _(spark, d):
+    context = load(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("file"))
+    rows = review.context_gate(load(spark, d, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("fingerprint")), context, 7)
+    return rows.withColumn("files", F.array_join(F.col("files").cast("array<string>"), ","))
+
+
+@query("g14_federated_nodes", "SELECT 'a:' || s_suppkey AS id, 'a' AS repository, CAST(s_suppkey AS VARCHAR) AS original_id, s_name AS name FROM supplier UNION ALL SELECT 'b:' || p_partkey, 'b', CAST(p_partkey AS VARCHAR), p_name FROM part")
+def _(spark, d):
+    a = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    b = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    none = load(spark, d, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("target"))
+    return graphs.federated_graphs({"a": (a, none), "b": (b, none)})[0]
+
+
+@query("x1_normalized_paths", r"SELECT page_id, replace(replace(url, '//', '/'), '/', '/') AS path FROM pages")
+def _(spark, d):
+    mixed = F.concat(F.lit("  "), F.replace(F.replace("url", F.lit("//"), F.lit("/")), F.lit("/"), F.lit("\\")), F.lit(" "))
+    return load(spark, d, "pages").select("page_id", source_code.normalized_path(mixed).alias("path"))
+
+
+@query("x4_cosine", "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id, floor(greatest(-1, least(1, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS similarity FROM v a JOIN v b ON b.id = a.id + 1")
+def _(spark, d):
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
+    return rows.join(after, "id").select("id", scalars.rounded(scalars.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
+
+
+@query("x6_code_lines", r"""
+WITH f AS (SELECT doc_id, doc_id % 3 AS k, text FROM documents), l AS (SELECT doc_id, k, unnest(string_split(text, chr(10))) AS line FROM f)
+SELECT doc_id, CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'ruby' ELSE 'typescript' END AS language, CAST(count(*) FILTER (regexp_matches(line, '\S') AND NOT regexp_matches(line, '["''#/*`]')) AS BIGINT) AS plain FROM l GROUP BY 1, 2""")
+def _(spark, d):
+    """Lines without quotes or comment marks, which count alike in every language."""
+    end = F.element_at(F.array(*map(F.lit, ("x.py", "Rakefile", "x.ts"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    plain = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[\"'#/*`]")), "\n")
+    rows = load(spark, d, "documents").select("doc_id", source_code.detected_language(F.concat(F.lit("a/"), end), F.col("text"), strict=True).alias("language"), plain.alias("text"))
+    return rows.select("doc_id", "language", source_code.code_lines(F.col("language"), F.col("text")).cast("long").alias("plain"))
+
+
+@query("x8_detected_languages", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ruby' WHEN 1 THEN 'tsx' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' END AS language FROM documents")
+def _(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("src\\GemFile", "a/B.TSX", "tool", "run", "note.txt"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("#!/usr/bin/env python3\n"), "text")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("#!/usr/bin/node\n"), "text")).otherwise(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", source_code.detected_language(name, text).alias("language"))
+
+
+@query("x10_rounding", "SELECT event_id, floor((value - 50) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS four, floor((value - 50) / 3 * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS six FROM events")
+def _(spark, d):
+    return load(spark, d, "events").select("event_id", scalars.rounded(F.col("value") - 50).alias("four"), scalars.rounded((F.col("value") - 50) / 3, 6).alias("six"))
+
+
+@query("x18_severity", "SELECT o_orderkey, CASE WHEN substr(o_orderpriority, 3) IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL', 'INFO') THEN substr(o_orderpriority, 3) END AS severity FROM orders")
+def _(spark, d):
+    text = F.concat(F.lit(" "), F.lower(F.substr("o_orderpriority", F.lit(3))))
+    return load(spark, d, "orders").select("o_orderkey", scalars.severity(F.trim(text), ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")).alias("severity"))
