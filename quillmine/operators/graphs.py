@@ -86,15 +86,12 @@ def edge_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (node, label, own) passed along edges inside one label of origin until nothing changes: the greatest that reaches each node."""
+    """Labels (node, label) passed along edges until nothing changes: the greatest that reaches each node."""
     while True:
-        sent = edges.join(labels, F.col("source") == F.col("node")).select(F.col("target").alias("node"), "label", F.col("own").alias("of"))
-        best = sent.groupBy("node", "of").agg(F.max("label").alias("seen"))
-        new = labels.join(best, (labels["node"] == best["node"]) & labels["own"].eqNullSafe(best["of"]), "left").select(labels["node"], F.greatest("label", "seen").alias("label"), "own")
-        new = rewritten(new)
-        changed = new.join(labels.select("node", F.col("label").alias("before")), "node").where("label <> before").isEmpty()
-        labels = new
-        if changed:
+        best = edges.join(labels, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.max("label").alias("seen"))
+        new = rewritten(labels.join(best, "node", "left").select("node", F.greatest("label", "seen").alias("label"), (F.coalesce(F.col("seen") > F.col("label"), F.lit(False))).alias("moved")))
+        labels = new.select("node", "label")
+        if new.where("moved").isEmpty():
             return labels
 
 
@@ -118,7 +115,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 left = left.join(core.select(F.col("node").alias(end)), end, "left_semi")
             left = rewritten(left.select("source", "target"))
             continue
-        colour = _spread(left, nodes.select("node", F.col("node").alias("label"), F.lit(None).cast("string").alias("own")))
+        colour = _spread(left, nodes.select("node", F.col("node").alias("label")))
         back = left.select(F.col("target").alias("source"), F.col("source").alias("target"))
         inner = back.join(colour.select(F.col("node").alias("source"), F.col("label").alias("x")), "source").join(colour.select(F.col("node").alias("target"), F.col("label").alias("y")), "target")
         inner = rewritten(inner.where("x = y").select("source", "target"))

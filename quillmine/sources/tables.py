@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rewritten(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes the rows to the folder that all executors share (a local one where none is named, as in tests) and reads them again."""
+    """Cuts lineage: writes the rows to the folder that all executors share (a local one where none is named, as in tests) and reads them again. The files go when the driver ends."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+    if not shared and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     shared = shared or "/tmp/checkpoints/quillmine"
     path = f"{shared.rstrip('/')}/step-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

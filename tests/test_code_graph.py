@@ -135,3 +135,28 @@ def test_changed_stream(spark, tmp_path):
     schema = "repository string, ref string, path string, digest string, at timestamp"
     got = replayed(spark, tmp_path, parts, schema, file_tree.changed_stream)
     assert sorted((r.ref, r.path, r.digest) for r in got.collect()) == [("dev", "a", "1"), ("main", "a", "1"), ("main", "a", "1"), ("main", "a", "2"), ("main", "b", "1"), ("main", "b", "2")]
+
+
+def test_semantic_roles_and_languages(spark):
+    from pyspark.sql import functions as F
+
+    from quillmine.operators import graphs, review, source_code
+
+    files = [
+        parsed("src/tests/a.test.ts"), parsed("src/adapters/x.ts", imports=["axios"], classes=[("HttpClient", True, [], [], loc(1))]), parsed("src/utils/u.ts", functions=[function(f"f{i}", i, i) for i in range(1, 4)], calls=[("f1", "f2", loc(1))]),
+        parsed("src/plain.ts"), parsed("src/domain/entity/e.ts", classes=[("E", False, [], [], loc(1))], functions=[function("m", 2, 3, "E")]),
+    ]
+    got = {r.file: (r.role, r.confidence) for r in code_graph.semantic_roles(spark.createDataFrame(files, code_graph.FILES)).collect()}
+    assert got == {"src/tests/a.test.ts": ("TEST_MODULE", 0.63), "src/adapters/x.ts": ("INFRASTRUCTURE_ADAPTER", 1.0), "src/utils/u.ts": ("UTILITY_MODULE", 0.75), "src/plain.ts": ("UNKNOWN", 0.0), "src/domain/entity/e.ts": ("DOMAIN_MODEL", 0.88)}
+    df = spark.createDataFrame([("a/Gemfile", ""), ("b.KT", ""), ("run", "#!/usr/bin/env ruby\nx"), ("odd", "x")], "path string, text string")
+    assert [r.l for r in df.select(source_code.detected_language(F.col("path"), F.col("text")).alias("l")).collect()] == ["ruby", "kotlin", "ruby", None]
+    with pytest.raises(Exception, match="no known language: odd"):
+        df.select(source_code.detected_language(F.col("path"), F.col("text"), strict=True)).collect()
+    rows = spark.createDataFrame([("python", 'x = 1 # a\n# b\n"""doc\nmore"""\n'), ("go", "x\n// c\n/* d\ne */ y\n"), (None, "x")], "language string, text string")
+    assert [r.n for r in rows.select(source_code.code_lines(F.col("language"), F.col("text")).alias("n")).collect()] == [1, 2, None]
+    files = spark.createDataFrame([(i, "x") for i in range(5)], "file int, fingerprint string")
+    none = files.select("file").where("false")
+    assert review.context_gate(files, none, 2).count() == 3 and review.context_gate(files, files.where("file < 3").select("file"), 2).count() == 2
+    node, edge = spark.createDataFrame([(1, "n")], "id int, name string"), spark.createDataFrame([(1, 1)], "source int, target int")
+    nodes, edges = graphs.federated_graphs({"a": (node, edge), "b": (node.drop("name"), edge)})
+    assert sorted(tuple(r) for r in nodes.collect()) == [("a:1", "a", "1", "n"), ("b:1", "b", "1", None)] and edges.count() == 2

@@ -100,7 +100,7 @@ def back_edges(nodes, edges):
     return found
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_cycles_as_a_search_closes_them(spark, seed):
     rng = random.Random(seed)
     edges = graph(seed, 12, 24) + [(a + "2", b + "2") for a, b in graph(seed + 10, 6, 12)] + [("solo", "solo")]
@@ -134,7 +134,7 @@ def close(rows, threshold):
     return {(a, b) for a in u for b in u if a < b and sum(x * y for x, y in zip(u[a], u[b], strict=True)) >= threshold}
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.97])
+@pytest.mark.parametrize("threshold", [0.3, 0.95])
 def test_links_are_exact_and_clusters_whole(spark, threshold):
     rng = random.Random(8)
     heart = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
