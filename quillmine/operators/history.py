@@ -8,13 +8,27 @@ from pyspark.sql import functions as F
 from quillmine.functions.scalars import rounded
 
 
+#: Files of a commit from which on its pairs are dealt out in blocks of so many files.
+BULK = 256
+
+
 def temporal_coupling(changes: DataFrame) -> DataFrame:
-    """Files changed in one commit, from distinct rows (commit, file, at): shared commits and their Jaccard share."""
-    baskets = changes.groupBy("commit", "file").agg(F.max("at").alias("at"))
+    """Files changed in one commit, from distinct rows (commit, file, at): shared commits and their Jaccard share.
+
+    A commit's files meet in one exchange, which the files' own counts use again, and pairs come from the sorted
+    list of them. The list of a bulk commit is cut into blocks, and pairs of blocks are dealt to tasks anew.
+    """
+    baskets = changes.repartition("commit").groupBy("commit", "file").agg(F.max("at").alias("at"))
+    commits = baskets.groupBy("commit").agg(F.sort_array(F.collect_list(F.struct("file", "at"))).alias("f"))
+    each = commits.where(F.size("f") <= BULK).select("f", F.posexplode("f").alias("i", "x"))
+    pairs = each.select("x", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("y"))
+    bulk = commits.where(F.size("f") > BULK).select("f", F.explode(F.sequence(F.lit(0), F.floor((F.size("f") - 1) / BULK).cast("int"))).alias("a"))
+    bulk = bulk.select("f", "a", F.explode(F.sequence("a", F.floor((F.size("f") - 1) / BULK).cast("int"))).alias("b"))
+    part = lambda c: F.slice("f", F.col(c) * BULK + 1, F.lit(BULK))
+    blocks = bulk.select(part("a").alias("p"), part("b").alias("q")).repartition(F.xxhash64("p", "q"))
+    met = blocks.select("q", F.explode("p").alias("x")).select("x", F.explode("q").alias("y")).where(F.col("x.file") < F.col("y.file"))
+    pairs = pairs.unionByName(met).groupBy(F.col("x.file").alias("left"), F.col("y.file").alias("right")).agg(F.count("*").alias("shared"), F.max("x.at").alias("last_at"))
     alone = baskets.groupBy("file").agg(F.count("*").alias("n"))
-    a, b = baskets.alias("a"), baskets.alias("b")
-    pairs = a.join(b, (F.col("a.commit") == F.col("b.commit")) & (F.col("a.file") < F.col("b.file")))
-    pairs = pairs.groupBy(F.col("a.file").alias("left"), F.col("b.file").alias("right")).agg(F.count("*").alias("shared"), F.max("a.at").alias("last_at"))
     pairs = pairs.join(alone.toDF("left", "n_left"), "left").join(alone.toDF("right", "n_right"), "right")
     strength = rounded(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")))
     return pairs.select("left", "right", "shared", strength.alias("strength"), "last_at")

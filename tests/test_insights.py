@@ -137,3 +137,19 @@ def test_rates_patterns_and_limits(spark):
     assert {r.rule: (r.score, r.confidence) for r in insights.team_patterns(rates).collect()} == {"r": (-0.578947, 1.0), "q": (1.0, 0.2)}
     calls = spark.createDataFrame([(i, "k", dt.datetime(2024, 1, 1, 0, 0, s)) for i, s in enumerate((0, 10, 20, 59))], "id int, key string, at timestamp")
     assert [(r.admitted, r.retry_after) for r in insights.limited_calls(calls, 60, 2).orderBy("id").collect()] == [(True, None), (True, None), (False, 40), (False, 1)]
+
+
+def test_coupling_of_bulk_commits(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from quillmine.operators import history
+
+    rows = [(1, f, 5) for f in range(23)] + [(2, f, 7) for f in range(0, 23, 3)] + [(3, 4, 1), (2, 3, 9), (2, 3, 8)]
+    df = spark.createDataFrame(rows, "commit int, file int, at int")
+    sets = [{f for c, f, _ in rows if c == k} for k in (1, 2, 3)]
+    want = Counter(p for s in sets for p in combinations(sorted(s), 2))
+    for size in (history.BULK, 5):
+        monkeypatch.setattr(history, "BULK", size)
+        got = {(r.left, r.right): (r.shared, r.last_at) for r in history.temporal_coupling(df).collect()}
+        assert {p: n for p, (n, _) in got.items()} == want and got[(3, 6)] == (2, 9) and got[(0, 3)] == (2, 7)
