@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmine.functions.scalars import path_of, rounded
-from quillmine.operators import graphs, history, metrics, review, scores, source_code
+from quillmine.operators import graphs, history, metrics, review, scores, source_code, windows
 from quillmine.plans.registry import query
 from quillmine.sources.tables import load
 from quillmine.streaming import state
@@ -79,11 +79,10 @@ def _(spark, d):
 
 @query("a28_running_averages", "SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mean_value, count(*) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth_of_day FROM events")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    day = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, d, "events").select("event_id", (F.sum(F.floor("value").cast("long")).over(order) / F.count("*").over(order)).alias("mean_value"), F.count("*").over(day).alias("nth_of_day"))
+    rows = load(spark, d, "events").select("event_id", "event_type", "ts", F.date_trunc("day", "ts").alias("day"), F.floor("value").cast("long").alias("v"))
+    rows = windows.running_sums(rows, ["event_type"], ["ts", "event_id"], {"total": F.col("v"), "nth": F.lit(1).cast("long")})
+    rows = windows.running_sums(rows, ["event_type", "day"], ["ts", "event_id"], {"nth_of_day": F.lit(1).cast("long")})
+    return rows.select("event_id", (F.col("total") / F.col("nth")).alias("mean_value"), "nth_of_day")
 
 
 @query("x20_risk_confidence", f"WITH {FILES} SELECT file, greatest(45.0, least(96.0, floor(45 + bugs * 9 + churn * 3 + complexity * 0.55 + 0.5))) AS confidence FROM f")

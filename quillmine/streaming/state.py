@@ -57,6 +57,37 @@ def limited_stream(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
     return calls.groupBy("key").applyInPandasWithState(run, "key long, id long, admitted boolean, retry_after long", "start long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttled_stream(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """(key, id, admitted, reason, retry_after) of a stream of calls (key, id, at, blocked).
+
+    As limited_stream(), and besides: a row with blocked, in seconds, is a provider's answer that it had too many
+    calls; it is no call itself, and until that time no call of its key is admitted. Rows of a batch are taken in the
+    order of (at, id); one that comes a batch late is taken then, in a window that may have moved on.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, used, until = state.get if state.exists else (None, 0, 0)
+        rows = pd.concat(list(parts)).sort_values(["at", "id"])
+        out = []
+        for i, at, blocked in zip(rows["id"], rows["at"].astype("datetime64[s]").astype("int64"), rows["blocked"], strict=True):
+            if not pd.isna(blocked):
+                until = max(until, int(at) + int(blocked))
+                continue
+            if start is None or at >= start + seconds:
+                start, used = int(at), 0
+            if until > at:
+                out.append((key[0], i, False, "PROVIDER", until - int(at)))
+            elif used < limit:
+                used += 1
+                out.append((key[0], i, True, None, 0))
+            else:
+                out.append((key[0], i, False, "QUOTA", max(1, start + seconds - int(at))))
+        state.update((start, used, until))
+        yield pd.DataFrame(out, columns=["key", "id", "admitted", "reason", "retry_after"])
+
+    return calls.groupBy("key").applyInPandasWithState(run, "key long, id long, admitted boolean, reason string, retry_after long", "start long, used long, until long", "append", GroupStateTimeout.NoTimeout)
+
+
 def once_stream(messages: DataFrame, id_column: str | list[str], at: str, keep: str | None = None) -> DataFrame:
     """Messages of a stream whose id (one column or several) didn't come before: ever, or within the time keep that ids are kept.
 

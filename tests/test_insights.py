@@ -153,3 +153,18 @@ def test_coupling_of_bulk_commits(spark, monkeypatch):
         monkeypatch.setattr(history, "BULK", size)
         got = {(r.left, r.right): (r.shared, r.last_at) for r in history.temporal_coupling(df).collect()}
         assert {p: n for p, (n, _) in got.items()} == want and got[(3, 6)] == (2, 9) and got[(0, 3)] == (2, 7)
+
+
+def test_running_sums_of_a_hot_key(spark):
+    from itertools import accumulate
+
+    from quillmine.operators import windows
+
+    rows = [("hot", i, i % 5) for i in range(400)] + [(None, i, 1) for i in range(10)] + [(f"k{i}", 0, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, at int, v int").repartition(3)
+    got = windows.running_sums(df, ["k"], ["at"], {"total": F.col("v"), "n": F.lit(1)}, ranges=6).collect()
+    assert len(got) == len(rows)
+    for key in {k for k, _, _ in rows}:
+        mine = sorted((r.at, r.v, r.total, r.n) for r in got if r.k == key)
+        assert [m[2] for m in mine] == list(accumulate(m[1] for m in mine)) and [m[3] for m in mine] == list(range(1, len(mine) + 1))
+    assert windows.running_sums(df.where("false"), ["k"], ["at"], {"n": F.lit(1)}).count() == 0

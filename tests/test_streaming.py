@@ -44,3 +44,10 @@ def test_once_for_ever(spark, tmp_path):
     parts = [[("c", "a", at(1)), ("c", "b", at(1)), ("d", "a", at(1))], [("c", "z", at(28))], [("c", "a", at(29)), ("e", "a", at(29))]]
     got = replayed(spark, tmp_path, parts, "consumer string, id string, at timestamp", lambda s: state.once_stream(s, ["consumer", "id"], "at"))
     assert sorted((r.consumer, r.id) for r in got.collect()) == [("c", "a"), ("c", "b"), ("c", "z"), ("d", "a"), ("e", "a")]
+
+
+def test_throttled(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, i, at(s), b) for i, (s, b) in enumerate([(0, None), (1, None), (2, None), (3, 50), (10, None), (53, None), (101, None), (102, 0), (103, None)])]
+    got = replayed(spark, tmp_path, [rows[:5], rows[5:]], "key long, id long, at timestamp, blocked int", lambda s: state.throttled_stream(s, 100, 2)).orderBy("id").collect()
+    assert [(r.id, r.admitted, r.reason, r.retry_after) for r in got] == [(0, True, None, 0), (1, True, None, 0), (2, False, "QUOTA", 98), (4, False, "PROVIDER", 43), (5, False, "QUOTA", 47), (6, True, None, 0), (8, True, None, 0)]
