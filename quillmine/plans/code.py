@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillmine.functions import payloads, scalars
 from quillmine.operators import code_graph, file_tree, graphs, review, rules, source_code
 from quillmine.plans.registry import query
-from quillmine.sources import blueprints
-from quillmine.sources.tables import load
+from quillmine.sources import blueprints, stores
+from quillmine.sources.tables import fresh_path, load
 
 
 def parsed_files(spark, d):
@@ -238,3 +238,24 @@ def _(spark, d):
 def _(spark, d):
     text = F.concat(F.lit(" "), F.lower(F.substr("o_orderpriority", F.lit(3))))
     return load(spark, d, "orders").select("o_orderkey", scalars.severity(F.trim(text), ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")).alias("severity"))
+
+
+@query("s8_snapshots", """
+SELECT o_orderkey AS node, o_orderstatus AS scope, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority <> '5-LOW'""")
+def _(spark, d):
+    """All states are saved, then one again with fewer rows; the others stay."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderstatus").alias("scope"), "o_orderpriority")
+    path = fresh_path(spark, "snapshots")
+    stores.save_scopes(rows.select("node", "scope", F.lit(1).alias("version")), path)
+    stores.save_scopes(rows.where("scope = 'F' and o_orderpriority <> '5-LOW'").select("node", "scope", F.lit(2).alias("version")), path)
+    return spark.read.parquet(path)
+
+
+@query("s13_graph_lines", """
+SELECT 0 AS kind, '{"id":"s' || s_suppkey || '","label":"' || s_name || '"}' AS line FROM supplier UNION ALL SELECT 0, '{"id":"n' || n_nationkey || '","label":"n' || n_nationkey || '"}' FROM nation
+UNION ALL SELECT 1, '{"id":"s' || s_suppkey || '|IN|n' || s_nationkey || '","source":"s' || s_suppkey || '","target":"n' || s_nationkey || '","type":"IN"}' FROM supplier""")
+def _(spark, d):
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    s = load(spark, d, "supplier")
+    nodes = s.select(key("s", "s_suppkey").alias("id"), F.col("s_name").alias("label")).unionByName(load(spark, d, "nation").select(key("n", "n_nationkey").alias("id"), F.lit(None).cast("string").alias("label")))
+    return stores.graph_lines(nodes, s.select(key("s", "s_suppkey").alias("source"), key("n", "s_nationkey").alias("target"), F.lit("IN").alias("type")))

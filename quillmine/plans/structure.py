@@ -70,6 +70,24 @@ def _(spark, d):
     return boundaries.declared_contracts(declared, contracts, reachable)
 
 
+@query("j18_contracts_of_all_lines", """
+WITH c AS (SELECT 'i' || p_partkey // 2 AS name, CAST(p_size AS BIGINT) AS file FROM part),
+n AS (SELECT l_suppkey AS file, l_orderkey AS declaration, 'i' || l_partkey * 3 // 4 AS name, row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_partkey * 3 // 4 ORDER BY l_linenumber) AS nth FROM lineitem),
+r AS (SELECT DISTINCT l_suppkey AS file, l_linenumber + 3 AS target FROM lineitem),
+here AS (SELECT name, file, count(*) AS same FROM c GROUP BY 1, 2), per AS (SELECT name, count(*) AS n FROM c GROUP BY 1),
+far AS (SELECT name, r.file, CAST(sum(same) AS BIGINT) AS near FROM here JOIN r ON here.file = r.target GROUP BY 1, 2),
+t AS (SELECT n.file, declaration, n.name, coalesce(same, near, per.n, 0) AS k FROM n LEFT JOIN per ON per.name = n.name LEFT JOIN here ON here.name = n.name AND here.file = n.file LEFT JOIN far ON far.name = n.name AND far.file = n.file WHERE nth = 1)
+SELECT file, declaration, name, 'DUPLICATE' AS issue, 'LOW' AS severity FROM n WHERE nth > 1
+UNION ALL SELECT file, declaration, name, CASE WHEN k = 0 THEN 'MISSING' ELSE 'AMBIGUOUS' END, CASE WHEN k = 0 THEN 'HIGH' ELSE 'MEDIUM' END FROM t WHERE k <> 1""")
+def _(spark, d):
+    line, part = load(spark, d, "lineitem"), load(spark, d, "part")
+    name = lambda c: F.concat(F.lit("i"), F.expr(c).cast("string")).alias("name")
+    declared = line.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("declaration"), F.col("l_linenumber").alias("position"), name("l_partkey * 3 div 4"))
+    contracts = part.select(name("p_partkey div 2"), F.col("p_size").cast("long").alias("file"))
+    reachable = line.select(F.col("l_suppkey").alias("file"), (F.col("l_linenumber") + 3).alias("target"))
+    return boundaries.declared_contracts(declared, contracts, reachable)
+
+
 @query("a27_shared_state", """
 WITH m AS (SELECT DISTINCT l_partkey AS file, 's' || l_suppkey AS symbol, CASE l_returnflag WHEN 'A' THEN 'setAll' WHEN 'R' THEN 'addRow' ELSE 'get' || l_returnflag END AS method FROM lineitem),
 s AS (SELECT file, symbol, list_sort(list(method)) AS mutators FROM m WHERE starts_with(lower(method), 'set') OR starts_with(lower(method), 'add') GROUP BY 1, 2),

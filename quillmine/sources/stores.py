@@ -60,3 +60,27 @@ def dequeued(waiting: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n waiting jobs (job, priority: the least first, null last, at), and the queue without them."""
     taken = waiting.orderBy(F.asc_nulls_last("priority"), "at", "job").limit(n)
     return taken, waiting.join(taken.select("job"), "job", "left_anti")
+
+
+def sources_of(spark: SparkSession, root: str, languages: list[str] | None, skipped: list[str]) -> DataFrame:
+    """(path, language, text) of the files below root whose language is known, and among languages if these are given, in the order of path; none in a skipped folder."""
+    from quillmine.operators.source_code import NAMES, EXTENSIONS, detected_language
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = F.regexp_extract("path", "^(?:[a-z0-9]+:/*)?(.*)$", 1)
+    rows = found.select(F.substr(base, F.lit(len(root.strip("/")) + 2)).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.lit(skipped)) if skipped else F.lit(True))
+    unknown = set(languages or ()) - {*NAMES.values(), *EXTENSIONS.values()}
+    if unknown:
+        raise ValueError(f"no such language: {', '.join(sorted(unknown))}")
+    rows = rows.withColumn("language", detected_language(F.col("path"), F.col("text"))).where("language is not null")
+    rows = rows if languages is None else rows.where(F.col("language").isin(languages))
+    return rows.select("path", "language", "text").orderBy("path")
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, line): a graph as JSON lines, nodes (id, label, other columns) before edges (source, target, type) when sorted; null values are left out."""
+    rest = [c for c in nodes.columns if c not in ("id", "label")]
+    node = F.to_json(F.struct(F.col("id"), F.coalesce("label", "id").alias("label"), *rest))
+    edge = F.to_json(F.struct(F.concat_ws("|", "source", "type", "target").alias("id"), "source", "target", "type"))
+    return nodes.select(F.lit(0).alias("kind"), node.alias("line")).unionByName(edges.distinct().select(F.lit(1).alias("kind"), edge.alias("line")))

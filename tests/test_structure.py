@@ -62,3 +62,14 @@ def test_commit_predicates(spark):
     rows = spark.createDataFrame([(1, "a", "2024-01-01", ["x"]), (2, "b", "2024-01-02", ["x", "y"]), (3, "a", "2024-01-03", ["y"])], "id int, author string, at string, paths array<string>").withColumn("at", F.to_timestamp("at"))
     ids = lambda **k: [r.id for r in stores.commits(rows, **k).collect()]
     assert ids(author="a") == [1, 3] and ids(path="y", most=1) == [3] and ids(since="2024-01-02", until="2024-01-02") == [2]
+
+
+def test_sources_by_language(spark, tmp_path):
+    for name, text in (("src/b.py", "x"), ("src/Rakefile", "y"), ("a.ts", "z"), ("run", "#!/usr/bin/env node\n"), ("note.txt", "n"), ("node_modules/c.py", "c")):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    root = str(tmp_path / "r")
+    assert [(r.path, r.language) for r in stores.sources_of(spark, root, None, ["node_modules"]).collect()] == [("a.ts", "typescript"), ("run", "javascript"), ("src/Rakefile", "ruby"), ("src/b.py", "python")]
+    assert [r.path for r in stores.sources_of(spark, root, ["python"], []).collect()] == ["node_modules/c.py", "src/b.py"]
+    with pytest.raises(ValueError, match="no such language: cobol"):
+        stores.sources_of(spark, root, ["cobol"], [])
