@@ -7,9 +7,10 @@ more than 4 (the triangle inequality), and survivors are verified bit by bit.
 
 near_dedup() has a setting of its own: sets of five-word shingles that are alike at a Jaccard similarity of
 at least 0.8. Such sets differ in about 15 of 100 bits of a SimHash, which no 64 bits can tell with a join, so
-that its fingerprints have 1088 bits. They meet in tables keyed by bits chosen at random, as many tables as
-meet 0.99 of the pairs at 0.8 (more of closer ones); what meets within a wide radius of bits is compared
-shingle by shingle.
+that its fingerprints have 1152 bits. They meet in tables keyed by bits chosen at random, as many tables as
+meet 0.99 of the pairs at 0.8 (more of closer ones). Each bucket has a pivot, and each row its distance to it:
+rows near their pivot are joined to it first, the others meet rows of other components whose distances to the
+pivot differ little enough, and what meets within a wide radius of bits is compared shingle by shingle.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 equal texts, repeated rows and shared ids meet in one fingerprint; a null doc_id has a null component
@@ -21,13 +22,14 @@ case of ASCII letters, and all texts without words, as equal; it never links by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, MapType, StructField, StructType
 
@@ -44,10 +46,12 @@ CHUNK = 1 << 16
 
 #: Setting of near_dedup(): words of a shingle, least Jaccard similarity, and the part of pairs just that similar that tables meet.
 NEAR_SHINGLE, NEAR_JACCARD, NEAR_RECALL = 5, 0.8, 0.99
-#: 64-bit words of its fingerprint; tables draw on all but the first, by which met pairs are sifted first.
-NEAR_WORDS = 17
-#: Bits that may differ in the first word and in all: 10 and 165 are expected at 0.8, 12 and 204 for sets of 4 and 5, and 32 and 544 by chance.
-NEAR_FIRST, NEAR_ALL = 22, 272
+#: 64-bit words of its fingerprint; tables draw on all but the first NEAR_SIFT, by which rows are measured against pivots and each other.
+NEAR_WORDS, NEAR_SIFT = 18, 2
+#: Bits that may differ in the first words and in all: 19 and 174 are expected at 0.8, 24 and 216 for sets of 4 and 5, and 64 and 576 by chance.
+NEAR_NEAR, NEAR_ALL = 44, 288
+#: Tables in which rows are compared with pivots alone.
+NEAR_STARS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -158,7 +162,7 @@ def near_tables(points: int) -> np.ndarray:
     differ = math.acos(2 * NEAR_JACCARD / (1 + NEAR_JACCARD)) / math.pi
     count = math.ceil(math.log(1 - NEAR_RECALL) / math.log1p(-((1 - differ) ** width)))
     rng = np.random.Generator(np.random.PCG64(SEED))
-    return np.stack([64 + rng.choice(64 * (NEAR_WORDS - 1), width, replace=False) for _ in range(count)])
+    return np.stack([64 * NEAR_SIFT + rng.choice(64 * (NEAR_WORDS - NEAR_SIFT), width, replace=False) for _ in range(count)])
 
 
 def _signed_rows(docs: DataFrame, set_: str, size_: str, fp_: str) -> DataFrame:
@@ -176,29 +180,43 @@ def _signed_rows(docs: DataFrame, set_: str, size_: str, fp_: str) -> DataFrame:
 
 
 def _near_keys(points: DataFrame, tables: np.ndarray) -> DataFrame:
-    """A row of every point in every table: key, id, size, first word."""
+    """A row of every point (id, size, fp, component) in every table: n, key, id, size, component, rank, and the words by which met pairs are sifted."""
     powers = 1 << np.arange(tables.shape[1], dtype=np.int64)
+    words = [f"w{i}" for i in range(NEAR_SIFT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, NEAR_WORDS)
             bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-            first = pa.array(fps[:, 0].view("<i8"))
+            rank = pa.array(_mix(batch.column(0).to_numpy().astype(np.uint64)).view(np.int64))
+            sift = [pa.array(np.ascontiguousarray(fps[:, i]).view("<i8")) for i in range(NEAR_SIFT)]
             for i, which in enumerate(tables):
                 key = bits[:, which].astype(np.int64) @ powers
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), batch.column(0), batch.column(1), first], names=["n", "key", "id", "size", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key), batch.column(0), batch.column(1), batch.column(3), rank, *sift], names=["n", "key", "id", "size", "component", "rank", *words])
 
-    return mapped(points.select("id", "size", "fp"), run, "n int, key long, id binary, size int, first long")
+    return mapped(points.select("id", "size", "fp", "component"), run, "n int, key long, id long, size int, component long, rank long, " + ", ".join(f"{w} long" for w in words))
 
 
-def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of points (id, size, fp) whose texts (id, text) are at least NEAR_JACCARD alike."""
-    keys = _near_keys(points, near_tables(points.count()))
-    a, b = keys.alias("a"), keys.alias("b")
-    alike = (F.col("a.size") >= NEAR_JACCARD * F.col("b.size")) & (F.col("b.size") >= NEAR_JACCARD * F.col("a.size"))
-    sifted = alike & (F.bit_count(F.col("a.first").bitwiseXOR(F.col("b.first"))) <= NEAR_FIRST)
-    met = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & sifted)
-    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _pivoted(keys: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component, with their bucket's pivot, the row of the least rank: p.id, p.size, p.component, and t, the row's distance to it."""
+    bucket = Window.partitionBy("n", "key")
+    ranked = bucket.orderBy("rank", "id")
+    words = [f"w{i}" for i in range(NEAR_SIFT)]
+    pivot = F.first(F.struct("id", "size", "component", *words)).over(ranked).alias("p")
+    rows = keys.select("*", pivot, (F.min("component").over(bucket) < F.max("component").over(bucket)).alias("mixed")).where("mixed").drop("mixed")
+    return rows.withColumn("t", _apart([F.col(w) for w in words], [F.col(f"p.{w}") for w in words])).withColumn("p", F.struct("p.id", "p.size", "p.component"))
+
+
+def _apart(a: list[Column], b: list[Column]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
+
+
+def _alike(a: Column, b: Column) -> Column:
+    return (a >= NEAR_JACCARD * b) & (b >= NEAR_JACCARD * a)
+
+
+def _verified(met: DataFrame, points: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of the pairs (a, b) of ids of points, those within NEAR_ALL bits whose texts are at least NEAR_JACCARD alike; texts gives (id, text) of ids."""
     ends = [points.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +225,9 @@ def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= NEAR_ALL
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    met = materialize(mapped(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b"), close, "a binary, b binary"), "near-met")
+    met = materialize(mapped(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b"), close, "a long, b long"), "near-met")
     needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    read = materialize(texts.join(needed, "id", "left_semi"), "near-texts")
+    read = materialize(texts(needed), "near-texts")
     pairs = met.join(read.toDF("a", "text_a"), "a").join(read.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +239,40 @@ def near_links(points: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(both >= NEAR_JACCARD * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return mapped(pairs, verify, "a binary, b binary")
+    return materialize(mapped(pairs, verify, "a long, b long"), "near-links")
+
+
+def _named(points: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """The points with their component over the links."""
+    found = components(links, tag)
+    return points.drop("component").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+
+
+def near_links(points: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of ids of points (id, size, fp) whose texts (texts gives (id, text) of ids) are at least NEAR_JACCARD alike: as many as join every component of the pairs that the tables meet.
+
+    First the rows of buckets of a few tables are compared with their bucket's pivot alone, each with the first and
+    the last by rank of the pivots near it. Then, in all tables, the rows that aren't of their pivot's component meet
+    the rows of other components: a family of copies that its pivots already joined makes no pairs, however large.
+    A row is left out where its distance to the pivot and the other's differ by more than NEAR_NEAR (the triangle
+    inequality), so that the pivot table discards before bits and texts are compared.
+    """
+    tables = near_tables(points.count())
+    alone = points.withColumn("component", F.col("id"))
+    near = _pivoted(_near_keys(alone, tables[:NEAR_STARS])).where((F.col("id") != F.col("p.id")) & (F.col("t") <= NEAR_NEAR) & _alike(F.col("size"), F.col("p.size")))
+    ranked = near.select("id", F.struct(F.xxhash64("p.id").alias("rank"), F.col("p.id").alias("id")).alias("to"))
+    ends = ranked.groupBy("id").agg(F.min("to.id").alias("x"), F.max("to.id").alias("y"))
+    stars = ends.select(F.explode(F.array("x", "y")).alias("to"), "id").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+    joined = _verified(stars, points, texts)
+    rows = _pivoted(_near_keys(_named(alone, joined, "near-stars"), tables))
+    a, b = rows.where(F.col("component") != F.col("p.component")).alias("a"), rows.alias("b")
+    words = [[F.col(f"{side}.w{i}") for i in range(NEAR_SIFT)] for side in "ab"]
+    # Both ends of a pair outside the pivot's component: once, by id.
+    once = (F.col("b.component") == F.col("b.p.component")) | (F.col("a.id") < F.col("b.id"))
+    sifted = (F.abs(F.col("a.t") - F.col("b.t")) <= NEAR_NEAR) & _alike(F.col("a.size"), F.col("b.size")) & (_apart(*words) <= NEAR_NEAR)
+    met = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & sifted)
+    rest = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    return joined.union(_verified(rest, points, texts))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -231,12 +282,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
     rows = rows.withColumn(row_, F.xxhash64(*hashed))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(row_).alias("row"))
-    points = rows.groupBy(F.col(set_).alias("id")).agg(F.first(size_).alias("size"), F.first(fp_).alias("fp"), F.min(order).alias("least"))
-    points = materialize(points, "near-points")
+    points = rows.groupBy(F.col(set_).alias("set")).agg(F.first(size_).alias("size"), F.first(fp_).alias("fp"), F.min(order).alias("least"))
+    # Points are numbered once they are written: a number is the place in the files.
+    points = materialize(materialize(points, "near-sets").withColumn("id", F.monotonically_increasing_id()), "near-points")
     # Any text of a set has its shingles; that of the least row is taken.
-    heads = points.select("id", F.col("least.row").alias("row"))
-    texts = rows.select(F.col(set_).alias("id"), F.col(row_).alias("row"), "text").join(heads, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]).select("id", "text")
-    found = components(materialize(near_links(points.select("id", "size", "fp"), texts), "near-links"), "near-components")
-    named = points.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("component"))
-    keep = named.groupBy("component").agg(F.min(F.struct("least", "id")).alias("k")).select(F.col("k.id").alias(set_), F.col("k.least.row").alias(row_))
+    heads = points.select("id", F.col("set").alias(set_), F.col("least.row").alias(row_))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = materialize(heads.join(ids, "id", "left_semi"), "near-heads")  # as files, so that its size is known and few are broadcast
+        return rows.join(wanted, [set_, row_]).dropDuplicates(["id"]).select("id", "text")
+
+    named = _named(points.select("id", "set", "least"), near_links(points.select("id", "size", "fp"), texts), "near-components")
+    keep = named.groupBy("component").agg(F.min(F.struct("least", "set")).alias("k")).select(F.col("k.set").alias(set_), F.col("k.least.row").alias(row_))
     return rows.join(keep, [set_, row_], "left_semi").dropDuplicates([set_, row_]).select(*[f"`{c}`" for c in docs.columns])
