@@ -36,6 +36,7 @@ SLACK, GROUPS_AGAIN = 1 / 32, 1024
 MEMO_WORDS = 150_000
 #: Printable ASCII and Latin letters, which have one lower-case form each and stand composed already.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+LETTERS = re.compile("[A-Za-z]+")
 #: Byte-level vocabularies write a byte as itself if Latin-1 prints it, and the others, in order, from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LEVEL = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512), strict=False))
@@ -67,6 +68,9 @@ class Encoder:
         self.split = self._plain_split()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)")
+        # A word of letters is one part if nothing but what begins with an apostrophe is tried before runs of letters.
+        before, runs, _ = self.split.pattern.partition(r"[\p{L}]+|") if self.split else ("", "", "")
+        self.whole = bool(runs) and all(x.startswith("'") for x in before.split("|")[:-1]) and not any(map(LETTERS.fullmatch, added))
 
     def _plain_split(self) -> regex.Pattern | None:
         """The pattern of the parts that the model names one by one, if the tokenizer only lower-cases and splits plain words."""
@@ -80,13 +84,19 @@ class Encoder:
         return regex.compile(cut["pattern"]["Regex"]) if whole and "Regex" in cut["pattern"] else None
 
     def _ids(self, word: str) -> bytes:
-        if self.split is None or not PLAIN.fullmatch(word) or self.added.search(word):
+        letters = LETTERS.fullmatch(word)  # neither a split nor an added token is in them
+        if letters and self.whole:
+            parts = (word.lower(),)
+        elif self.split is None or not PLAIN.fullmatch(word) or self.added.search(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            parts = self.split.findall(word.lower())
         out, known = b"", self.parts
-        for part in self.split.findall(word.lower()):
+        for part in parts:
             ids = known.get(part)
             if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+                level = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LEVEL)  # printable ASCII stands for itself
+                ids = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
                 if len(known) < MEMO_WORDS and len(part) <= 40:
                     known[part] = ids
             out += ids
