@@ -10,7 +10,9 @@ at least 0.8. Such sets differ in about 15 of 100 bits of a SimHash, which no 64
 that its fingerprints have 1152 bits. They meet in tables keyed by bits chosen at random, as many tables as
 meet 0.99 of the pairs at 0.8 (more of closer ones). Each bucket has a pivot, and each row its distance to it:
 rows near their pivot are joined to it first, the others meet rows of other components whose distances to the
-pivot differ little enough, and what meets within a wide radius of bits is compared shingle by shingle.
+pivot differ little enough, and what meets within a wide radius of bits is compared shingle by shingle. Large
+buckets make no pairs: blocks of their rows meet with their texts, two at a time, and each two give as many links
+as join their components.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 equal texts, repeated rows and shared ids meet in one fingerprint; a null doc_id has a null component
@@ -52,6 +54,10 @@ NEAR_WORDS, NEAR_SIFT = 18, 2
 NEAR_NEAR, NEAR_ALL = 44, 288
 #: Tables in which rows are compared with pivots alone.
 NEAR_STARS = 16
+#: Rows of a bucket that meet as pairs; larger buckets are compared by blocks of so many rows and shingles on average.
+NEAR_PAIRS, NEAR_BLOCK, NEAR_BLOCK_SHINGLES = 8, 256, 1 << 20
+#: Shingles of a block that are counted at once.
+NEAR_COLUMNS = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -198,12 +204,13 @@ def _near_keys(points: DataFrame, tables: np.ndarray) -> DataFrame:
 
 
 def _pivoted(keys: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component, with their bucket's pivot, the row of the least rank: p.id, p.size, p.component, and t, the row's distance to it."""
+    """Rows of buckets that hold more than one component, with their bucket's pivot, the row of the least rank: p.id, p.size, p.component, t, the row's distance to it, and the bucket's rows m and shingles s."""
     bucket = Window.partitionBy("n", "key")
     ranked = bucket.orderBy("rank", "id")
     words = [f"w{i}" for i in range(NEAR_SIFT)]
     pivot = F.first(F.struct("id", "size", "component", *words)).over(ranked).alias("p")
-    rows = keys.select("*", pivot, (F.min("component").over(bucket) < F.max("component").over(bucket)).alias("mixed")).where("mixed").drop("mixed")
+    mixed = (F.min("component").over(bucket) < F.max("component").over(bucket)).alias("mixed")
+    rows = keys.select("*", pivot, mixed, F.count("*").over(bucket).alias("m"), F.sum("size").over(bucket).alias("s")).where("mixed").drop("mixed")
     return rows.withColumn("t", _apart([F.col(w) for w in words], [F.col(f"p.{w}") for w in words])).withColumn("p", F.struct("p.id", "p.size", "p.component"))
 
 
@@ -215,8 +222,8 @@ def _alike(a: Column, b: Column) -> Column:
     return (a >= NEAR_JACCARD * b) & (b >= NEAR_JACCARD * a)
 
 
-def _verified(met: DataFrame, points: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of the pairs (a, b) of ids of points, those within NEAR_ALL bits whose texts are at least NEAR_JACCARD alike; texts gives (id, text) of ids."""
+def _close(met: DataFrame, points: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of ids of points, those within NEAR_ALL bits."""
     ends = [points.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +232,15 @@ def _verified(met: DataFrame, points: DataFrame, texts: Callable[[DataFrame], Da
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= NEAR_ALL
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    met = materialize(mapped(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b"), close, "a long, b long"), "near-met")
-    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    read = materialize(texts(needed), "near-texts")
+    return materialize(mapped(met.join(ends[0], "a").join(ends[1], "b").select("a", "b", "fp_a", "fp_b"), close, "a long, b long"), "near-met")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def _verified(met: DataFrame, read: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of ids, those whose texts (id, text) are at least NEAR_JACCARD alike."""
     pairs = met.join(read.toDF("a", "text_a"), "a").join(read.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +255,73 @@ def _verified(met: DataFrame, points: DataFrame, texts: Callable[[DataFrame], Da
     return materialize(mapped(pairs, verify, "a long, b long"), "near-links")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    owner, each = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    _, which, times = np.unique(each, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[which] > 1
+    owner, column = owner[shared], number[which][shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    found = np.diag([len(x) for x in sets]).astype(np.int64)
+    for a in range(0, int((times > 1).sum()), NEAR_COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + NEAR_COLUMNS])
+        held = np.zeros((len(sets), NEAR_COLUMNS), np.float32)  # counts up to NEAR_COLUMNS are exact
+        held[owner[lo:hi], column[lo:hi] - a] = 1
+        part = (held @ held.T).astype(np.int64)
+        np.fill_diagonal(part, 0)
+        found += part
+    return found
+
+
+def joining(sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of alike sets of different components: as many as join all components that such pairs join, at the largest component first."""
+    size, both = np.array([len(x) for x in sets]), shared_counts(sets)
+    alike = both >= NEAR_JACCARD * (size[:, None] + size - both)
+    names, of, rows = np.unique(component, return_inverse=True, return_counts=True)
+    members = [np.flatnonzero(of == c) for c in range(len(names))]
+    seen, out = np.zeros(len(names), bool), []
+    for root in np.lexsort((names, -rows)).tolist():
+        if seen[root]:
+            continue
+        seen[root] = True
+        queue = [root]
+        for c in queue:  # grows meanwhile
+            for i in members[c].tolist():
+                for j in np.flatnonzero(alike[i] & ~seen[of]).tolist():
+                    if not seen[of[j]]:
+                        seen[of[j]] = True
+                        out.append((i, j))
+                        queue.append(of[j])
+    return out
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(n, key, i, j, id, component) of rows of large buckets: each block of a bucket beside each other one."""
+    count = F.greatest(F.ceil(F.col("m") / NEAR_BLOCK), F.ceil(F.col("s") / NEAR_BLOCK_SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("count")).cast("int")
+    dealt = rows.select("n", "key", "id", "component", count.alias("count")).withColumn("own", own)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
+    return dealt.select("n", "key", "id", "component", pair.alias("to")).select("n", "key", "to.i", "to.j", "id", "component")
+
+
+def _block_links(blocks: DataFrame, read: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of the blocks' rows, one of each two components."""
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
+        found = joining([shingle_set(t.as_py()) for t in rows["text"]], component) if (component != component[:1]).any() else []
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": ids[i], "b": ids[j], "ca": component[i], "cb": component[j]})
+
+    texts = blocks.join(read, "id")
+    found = texts.groupBy("n", "key", "i", "j").applyInArrow(link, "a long, b long, ca long, cb long")
+    ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(ends).alias("l")).select("l.a", "l.b")
+
+
 def _named(points: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """The points with their component over the links."""
     found = components(links, tag)
@@ -255,7 +335,8 @@ def near_links(points: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Da
     the last by rank of the pivots near it. Then, in all tables, the rows that aren't of their pivot's component meet
     the rows of other components: a family of copies that its pivots already joined makes no pairs, however large.
     A row is left out where its distance to the pivot and the other's differ by more than NEAR_NEAR (the triangle
-    inequality), so that the pivot table discards before bits and texts are compared.
+    inequality), so that the pivot table discards before bits and texts are compared. Rows of buckets of more than
+    NEAR_PAIRS meet in blocks instead, where all are compared by shingles and only links that join components leave.
     """
     tables = near_tables(points.count())
     alone = points.withColumn("component", F.col("id"))
@@ -263,16 +344,24 @@ def near_links(points: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Da
     ranked = near.select("id", F.struct(F.xxhash64("p.id").alias("rank"), F.col("p.id").alias("id")).alias("to"))
     ends = ranked.groupBy("id").agg(F.min("to.id").alias("x"), F.max("to.id").alias("y"))
     stars = ends.select(F.explode(F.array("x", "y")).alias("to"), "id").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    joined = _verified(stars, points, texts)
+    stars = _close(stars, points)
+    joined = _verified(stars, materialize(texts(_ends(stars).distinct()), "near-texts"))
     rows = _pivoted(_near_keys(_named(alone, joined, "near-stars"), tables))
+    # t needs all columns of the rows, and keys are tested as the join tests them, so that blocks and pairs come from one exchange.
+    blocks = _blocks(rows.where((F.col("m") > NEAR_PAIRS) & (F.col("t") >= 0) & F.col("n").isNotNull() & F.col("key").isNotNull()))
+    rows = rows.where(F.col("m") <= NEAR_PAIRS)
     a, b = rows.where(F.col("component") != F.col("p.component")).alias("a"), rows.alias("b")
     words = [[F.col(f"{side}.w{i}") for i in range(NEAR_SIFT)] for side in "ab"]
     # Both ends of a pair outside the pivot's component: once, by id.
     once = (F.col("b.component") == F.col("b.p.component")) | (F.col("a.id") < F.col("b.id"))
     sifted = (F.abs(F.col("a.t") - F.col("b.t")) <= NEAR_NEAR) & _alike(F.col("a.size"), F.col("b.size")) & (_apart(*words) <= NEAR_NEAR)
     met = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & sifted)
-    rest = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    return joined.union(_verified(rest, points, texts))
+    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    both = materialize(met.unionByName(blocks, allowMissingColumns=True), "near-pairs")
+    blocks = both.where("a is null").drop("a", "b")
+    rest = _close(both.where("a is not null").select("a", "b").distinct(), points)
+    read = materialize(texts(_ends(rest).union(blocks.select("id")).distinct()), "near-texts")
+    return joined.union(_verified(rest, read)).union(materialize(_block_links(blocks, read), "near-block-links"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
