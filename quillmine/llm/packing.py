@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ MEMO_WORDS = 150_000
 #: Printable ASCII and Latin letters, which have one lower-case form each and stand composed already.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
 LETTERS = re.compile("[A-Za-z]+")
+#: Letters and what may follow them as one part: printable ASCII but digits, apostrophes and what begins an added token.
+TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]*)")
 #: Byte-level vocabularies write a byte as itself if Latin-1 prints it, and the others, in order, from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LEVEL = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512), strict=False))
@@ -50,6 +52,20 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+class _Memo(dict):
+    """What `of` gives of a word; that of the first MEMO_WORDS words is kept."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.of = of
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.of(word)
+        if len(self) < MEMO_WORDS and len(word) <= 40:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes.
 
@@ -63,14 +79,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.memo, self.parts = _Memo(self._ids), _Memo(self._part)
         self.split = self._plain_split()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)")
         # A word of letters is one part if nothing but what begins with an apostrophe is tried before runs of letters.
-        before, runs, _ = self.split.pattern.partition(r"[\p{L}]+|") if self.split else ("", "", "")
+        before, runs, after = self.split.pattern.partition(r"[\p{L}]+|") if self.split else ("", "", "")
         self.whole = bool(runs) and all(x.startswith("'") for x in before.split("|")[:-1]) and not any(map(LETTERS.fullmatch, added))
+        # So are marks after them, if nothing else is tried before runs of marks and added tokens begin with what isn't among these.
+        self.tailed = self.whole and after == r"[\p{N}]|[^\s\p{L}\p{N}]+" and all(t.startswith("<") for t in added)
 
     def _plain_split(self) -> regex.Pattern | None:
         """The pattern of the parts that the model names one by one, if the tokenizer only lower-cases and splits plain words."""
@@ -84,23 +101,17 @@ class Encoder:
         return regex.compile(cut["pattern"]["Regex"]) if whole and "Regex" in cut["pattern"] else None
 
     def _ids(self, word: str) -> bytes:
-        letters = LETTERS.fullmatch(word)  # neither a split nor an added token is in them
-        if letters and self.whole:
-            parts = (word.lower(),)
-        elif self.split is None or not PLAIN.fullmatch(word) or self.added.search(word):
+        plain = TAILED.fullmatch(word)
+        if plain and (self.tailed or self.whole and not plain[2]):
+            letters, tail = plain.groups()
+            return self.parts[letters.lower()] + self.parts[tail] if tail else self.parts[letters.lower()]
+        if self.split is None or not PLAIN.fullmatch(word) or self.added.search(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        else:
-            parts = self.split.findall(word.lower())
-        out, known = b"", self.parts
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                level = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LEVEL)  # printable ASCII stands for itself
-                ids = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
-                if len(known) < MEMO_WORDS and len(part) <= 40:
-                    known[part] = ids
-            out += ids
-        return out
+        return b"".join(map(self.parts.__getitem__, self.split.findall(word.lower())))
+
+    def _part(self, part: str) -> bytes:
+        level = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LEVEL)  # printable ASCII stands for itself
+        return array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -110,15 +121,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self.memo.get, words))
-        if None in found:
-            new = dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)
-            for w in new:
-                new[w] = self._ids(w) if w else b""
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            if len(self.memo) < MEMO_WORDS:
-                self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 40)
-        return b"".join(found)
+        return b"".join(map(self.memo.__getitem__, words))
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
