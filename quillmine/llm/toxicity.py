@@ -45,8 +45,8 @@ STRETCHES = (12, 3, 1)
 RARE = 5.0
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-#: Words whose hashes a Python worker keeps; others are hashed each time.
-MEMO_WORDS = 150_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 #: Keys of a bucket on average, buckets at least, and rows that a task gathers before it packs them.
 BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 200_000
 #: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
@@ -59,7 +59,10 @@ SLOTS = [f"c{i}" for i in range(2 * FOLDS)]
 WIDTH = 3 * len(SLOTS) + 1
 PAIR, WORD = range(2)
 _WORD = re.compile(r"\w+")
-_MEMO: dict[str, int] = {}
+#: Bytes of words, lower-cased; 0 stands for any other.
+_LOWER = np.frombuffer(bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 0 for b in bytes(range(256)).lower()), np.uint8)
+#: The first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Destinations of chunks lie above those of buckets.
 CHUNKS_FROM = 1 << 40
 
@@ -68,16 +71,49 @@ def fold(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS).cast("int")
 
 
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of texts, end to end, and how many each text has.
+
+    Words are found and hashed eight bytes at a time in all texts at once; texts beyond ASCII are brought to words and spaces before.
+    """
+    parts = [(t if t.isascii() else " ".join(_WORD.findall(t.lower()))).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = _LOWER[np.frombuffer(b" ".join([b"", *parts, b" " * 8]), np.uint8)]
+    edges = np.flatnonzero(np.diff(data != 0)) + 1
+    first, size = edges[::2], np.diff(edges)[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
+    hashes = _mix((eight[first] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = 8
+    while len(more := np.flatnonzero((size > at) & (size <= LONG_WORD))):
+        hashes[more] = _mix(hashes[more] + (eight[first[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]))
+        at += 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + size[i]])
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return (hashes >> np.uint64(1)).astype(np.int64), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def words(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words."""
-    found = _WORD.findall((text or "").lower())
-    hashes = list(map(_MEMO.get, found))
-    if None in hashes:
-        new = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w, h in zip(found, hashes, strict=True) if h is None}
-        hashes = [new[w] if h is None else h for w, h in zip(found, hashes, strict=True)]
-        if len(_MEMO) < MEMO_WORDS:
-            _MEMO.update(new)
-    return np.array(hashes, np.int64)
+    return words_of([text])[0]
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[_firsts(a)]
+
+
+def _firsts(a: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    return np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])
+
+
+def _ranked(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the place among them of every value."""
+    order = np.argsort(a)
+    first = _firsts(a[order])
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return a[order][first], place
 
 
 def _lefts(w: np.ndarray) -> np.ndarray:
@@ -99,13 +135,16 @@ def _key(kind: int, word: np.ndarray, right: np.ndarray | int = 0) -> np.ndarray
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(left, right, slot, n) of the pairs of texts (slot, text)."""
     for batch in batches:
-        ws = [words(t.as_py()) for t in batch.column(1)]
-        slot = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(w) for w in ws])
-        if not len(slot):
+        right, size = words_of(batch.column(1).to_pylist())
+        if not len(right):
             continue
-        left, right = np.concatenate([_lefts(w) for w in ws if len(w)]), np.concatenate(ws)
-        _, at, n = np.unique(_key(PAIR, left, right) + slot, return_index=True, return_counts=True)
-        order = np.lexsort((left[at], right[at]))  # like words together, as blocks of a shuffle are compressed
+        slot, left = np.repeat(batch.column(0).to_numpy().astype(np.int64), size), _lefts(right)
+        left[(np.cumsum(size) - size)[size > 0]] = 0
+        pair = _key(PAIR, left, right) + slot
+        order = np.argsort(pair)
+        first = np.flatnonzero(_firsts(pair[order]))
+        at, n = order[first], np.diff(first, append=len(order))
+        order = np.argsort(right[at])  # like words together, as blocks of a shuffle are compressed
         at, n = at[order], n[order]
         yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(slot[at].astype(np.int32)), pa.array(n)], names=["left", "right", "slot", "n"])
 
@@ -113,8 +152,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(left, shared): words and how often they occur."""
     for batch in batches:
-        w, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(words(t.as_py()) for t in batch.column(0))]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["left", "shared"])
+        w = np.sort(words_of(batch.column(0).to_pylist())[0])
+        first = np.flatnonzero(_firsts(w))
+        yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.diff(first, append=len(w)))], names=["left", "shared"])
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -160,24 +200,23 @@ def _joined(bucket: int, marks: np.ndarray, rest: np.ndarray, buckets: int) -> n
     return top | (marks << np.uint64(64 - MARK_BITS - bits)) | rest
 
 
-def _packing(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (kind, left, right, values) to packed rows (to, keys, values) of the buckets."""
+def _packing(kind: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (left, right if they are pairs, values) to packed rows (to, keys, values) of the buckets; a pair has only its counts."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, values = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        keys, values = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], 1)
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        keys, values = keys[order], values[:, order]
         found, first = _bucketed(keys, buckets)
-        parts = [(_keys_out(keys[a:b]), _squeeze(values[a:b].T)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        parts = [(_keys_out(keys[a:b]), _squeeze(values[:, a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["to", "keys", "vals"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            kind, left, right = (b.column(i).to_numpy() for i in range(3))
-            keys = np.where(kind == PAIR, _key(PAIR, left, right), _key(WORD, left)).view(np.uint64)
-            values = np.stack([b.column(3 + i).to_numpy() for i in range(WIDTH)], 1).astype(np.int64)
-            held.append((keys, values))
+            columns = [c.to_numpy() for c in b.columns]
+            keys = _key(PAIR, *columns[:2]) if kind == PAIR else _key(WORD, columns[0])
+            held.append((keys.view(np.uint64), np.stack(columns[2 if kind == PAIR else 1 :]).astype(np.int64)))
             n += len(keys)
             if n >= PACK_ROWS:
                 yield flush(held)
@@ -190,36 +229,44 @@ def _packing(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys of packed rows, ascending, and their values."""
-    parts = [(_keys_in(k), _stretch(v, np.int64).reshape(WIDTH, -1).T) for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
+    parts = [(_keys_in(k), _stretch(v, np.int64)) for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros((0, WIDTH), np.int64)
-    keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys)
-    return keys[order], values[order]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    values, at = np.zeros((len(keys), WIDTH), np.int64), 0
+    for k, v in parts:
+        v = v.reshape(-1, len(k))
+        values[place[at : at + len(k)], : len(v)] = v.T
+        at += len(k)
+    return keys[order], values
 
 
 class Asked:
     """The words of a chunk's texts, end to end, and the keys that they ask for, ascending."""
 
     def __init__(self, texts: list, places: bool = False):
-        ws = [words(t) for t in texts]
-        self.base = np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64)
-        w = np.concatenate([*ws, np.zeros(0, np.int64)])
+        w, size = words_of(texts)
+        self.base = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        starts = self.base[:-1][size > 0]
         left = _lefts(w)
-        left[self.base[:-1][np.diff(self.base) > 0]] = 0  # a text's first word follows the start
+        left[starts] = 0  # a text's first word follows the start
         pairs = _key(PAIR, left, w).view(np.uint64)
-        each = np.unique(np.append(w, 0))
-        names = _key(WORD, each).view(np.uint64)
         if not places:
-            self.keys = np.unique(np.concatenate([pairs, names])) if len(w) else np.zeros(0, np.uint64)
+            names = _key(WORD, _distinct(np.append(w, 0))).view(np.uint64)
+            self.keys = _distinct(np.concatenate([pairs, names])) if len(w) else np.zeros(0, np.uint64)
             return
-        own, inverse = np.unique(pairs, return_inverse=True)
-        self.keys = np.unique(np.concatenate([own, names])) if len(w) else np.zeros(0, np.uint64)
-        spot = np.searchsorted(self.keys, names)
+        own, pair = _ranked(pairs)
+        each, word = _ranked(np.append(w, 0))
+        names = _key(WORD, each).view(np.uint64)
+        self.keys = _distinct(np.concatenate([own, names])) if len(w) else np.zeros(0, np.uint64)
         # Places among the keys of every word's pair, of itself and of the word before it.
-        self.pair = np.searchsorted(self.keys, own)[inverse]
-        self.word = spot[np.searchsorted(each, w)] if len(w) else w
-        self.left = spot[np.searchsorted(each, left)] if len(w) else w
+        self.pair = np.searchsorted(self.keys, own)[pair]
+        spot = np.searchsorted(self.keys, names)[word]
+        self.word, self.left = spot[:-1], np.append(spot[-1:], spot[:-2])[: len(w)]
+        self.left[starts] = spot[-1]
 
 
 class Model:
@@ -248,7 +295,7 @@ class Model:
             place = TaskContext.get().partitionId() << 32 | nth
             chunk = CHUNKS_FROM + (xxhash.xxh3_64_intdigest(block, place) >> 2)
             found, first = _bucketed(keys, buckets)
-            parts = [_keys_out(np.unique(_marks(keys[a:b], buckets))) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] if len(keys) else []
+            parts = [_keys_out(_distinct(_marks(keys[a:b], buckets))) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] if len(keys) else []
             to = [*(found.tolist() if parts else []), chunk]
             return pa.RecordBatch.from_arrays(
                 [pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array([*parts, None], pa.binary()), pa.array([None] * len(parts) + [block], pa.binary())], names=["to", "chunk", "keys", "docs"]
@@ -270,16 +317,21 @@ class Model:
             """(to, bucket, nth, rest, vals): of the keys of this bucket that fit a chunk's marks, which mark they fit and their bits after it."""
             out = []
             known, values = _unpacked(rows) if asks.num_rows and asks["docs"].null_count else (np.zeros(0, np.uint64), None)
+            if not folds and len(known):
+                values = _summed(values)
             marks = _marks(known, buckets)
             for to, chunk, keys in zip(asks["to"].to_pylist(), asks["chunk"].to_pylist(), asks["keys"].to_pylist(), strict=True):
                 if keys is None or not len(known):
                     continue
                 wanted = _keys_in(keys)
-                i = np.minimum(np.searchsorted(wanted, marks), len(wanted) - 1)
-                fit = np.flatnonzero(wanted[i] == marks)
+                # What is asked for is sought in the table, as a chunk asks for a small part of it.
+                begin = np.searchsorted(marks, wanted)
+                i = np.flatnonzero(marks[np.minimum(begin, len(marks) - 1)] == wanted)
+                many = np.searchsorted(marks, wanted[i], "right") - begin[i]
+                fit = np.repeat(begin[i] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 if len(fit):
-                    got = values[fit] if folds else _summed(values[fit])
-                    nth = np.diff(i[fit].astype(np.int32), prepend=np.int32(0))
+                    got = values[fit]
+                    nth = np.diff(np.repeat(i, many).astype(np.int32), prepend=np.int32(0))
                     out.append({"to": chunk, "bucket": to, "nth": _squeeze(nth), "rest": _squeeze(_rest(known[fit], buckets)), "vals": _squeeze(got.astype(np.int32).T)})
             return pa.Table.from_pylist(out, pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("nth", pa.binary()), ("rest", pa.binary()), ("vals", pa.binary())]))
 
@@ -291,13 +343,16 @@ class Model:
             asked = Asked(rows.column(at).to_pylist(), places=True)
             values = np.zeros((len(asked.keys), width), np.int64)
             found_in, first = _bucketed(asked.keys, buckets)
-            spans = {b: asked.keys[x:y] for b, x, y in zip(found_in.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)}
+            spans = {b: (x, y) for b, x, y in zip(found_in.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)}
             for bucket, nth, rest, v in zip(*[answers[c].to_pylist() for c in ("bucket", "nth", "rest", "vals")], strict=True):
-                marks = np.unique(_marks(spans[bucket], buckets))[np.cumsum(_stretch(nth, np.int32))]
+                begin, end = spans[bucket]
+                keys = asked.keys[begin:end]
+                marks = _marks(keys, buckets)
+                marks = marks[_firsts(marks)][np.cumsum(_stretch(nth, np.int32))]
                 known = _joined(bucket, marks, _stretch(rest, np.uint64), buckets)
-                i = np.minimum(np.searchsorted(asked.keys, known), len(asked.keys) - 1)
-                mine = asked.keys[i] == known
-                values[i[mine]] = _stretch(v, np.int32).reshape(width, -1).T[mine]
+                i = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
+                mine = keys[i] == known
+                values[begin + i[mine]] = _stretch(v, np.int32).reshape(width, -1).T[mine]
             return judge(rows, asked, values)
 
         empty = _empty(schema)
@@ -387,9 +442,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) ->
     totals = every.agg(F.count_if(F.col("shared") > 0).alias("words"), F.coalesce(F.sum("shared"), none).alias("shared"), F.count("*").alias("rows"),
                        *[F.coalesce(F.sum(f"e{i}"), none).alias(c) for i, c in enumerate(SLOTS)], *[F.count_if(x).alias(name) for name, x in some.items()]).first().asDict()
     buckets = power_of_two((counts.count() + totals["rows"]) / BUCKET_KEYS, LEAST_BUCKETS)
-    pairs = counts.select(F.lit(PAIR).alias("kind"), "left", "right", *[(F.col(SLOTS[i]) if i < len(SLOTS) else none).alias(c) for i, c in enumerate(names)])
-    rows = pairs.unionByName(every.select(F.lit(WORD).alias("kind"), "left", none.alias("right"), *names))
-    model = Model(materialize(mapped(rows, _packing(buckets), "to long, keys binary, vals binary"), "toxic-model"), buckets, totals, n.get(1, 0) / max(1, sum(n.values())))
+    packed = [mapped(rows, _packing(kind, buckets), "to long, keys binary, vals binary") for kind, rows in ((PAIR, counts.select("left", "right", *SLOTS)), (WORD, every.select("left", *names)))]
+    model = Model(materialize(packed[0].union(packed[1]), "toxic-model"), buckets, totals, n.get(1, 0) / max(1, sum(n.values())))
     discard(counts)
     discard(every)
     if len(n) < 2:
