@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmine.llm.common import discard, mapped, materialize, power_of_two
+from quillmine.llm.common import discard, mapped, materialize, power_of_two, tidied, union_all
 
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
@@ -51,6 +51,8 @@ LONG_WORD = 64
 BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 200_000
 #: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
 MARK_BITS = 24
+#: Rounds in which all documents are scored where the disk is short.
+ROUNDS = 4
 #: Labels up to so many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: A count of every fold and class.
@@ -417,6 +419,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) -> Model:
     """Learns from the labelled documents outside the held-out fold, and the shared counts from all texts."""
+    with tidied(docs.sparkSession):
+        return _fitted(docs, labels, held_out)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: int | None) -> Model:
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("c_"))
     marks = marks.withColumn("f_", fold(F.col("doc_id")))
     if held_out is not None:
@@ -464,17 +471,26 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = HELD_OUT) ->
     return model
 
 
-def score(docs: DataFrame, model: Model, out: str = "toxic_score") -> DataFrame:
-    """The documents with a column of that name, which replaces one that they have."""
+def score(docs: DataFrame, model: Model, out: str = "toxic_score", keep: list[str] | None = None, rounds: int = 1) -> DataFrame:
+    """The documents with a column of that name, which replaces one that they have.
+
+    Columns to keep may be named. In several rounds, each of which scores its part of the documents, writes them and
+    clears its exchanges before the next begins, the disk holds a part of the texts, questions and answers at a time.
+    """
     docs = docs.drop(out)
+    keep = docs.columns if keep is None else keep
     if model.weights is None:
-        return docs.withColumn(out, F.lit(float(model.rate)))
+        return docs.select(*keep).withColumn(out, F.lit(float(model.rate)))
     weights, rate, totals = model.weights, float(model.rate), model.totals
-    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(out, DoubleType())])
 
     def judge(rows: pa.Table, asked: Asked, sums: np.ndarray) -> pa.Table:
         found = features(asked, sums, totals)
         scores = [rate if x is None else float(1 / (1 + np.exp(-np.clip(float(weights[0] + x @ weights[1:]), -40, 40)))) for x in found]
-        return rows.append_column(out, pa.array(scores, pa.float64()))
+        return rows.select(keep).append_column(out, pa.array(scores, pa.float64()))
 
-    return model.gather(docs, judge, schema)
+    if rounds == 1:
+        return model.gather(docs, judge, schema)
+    turn = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    with tidied(docs.sparkSession):
+        return union_all([materialize(model.gather(docs.where(turn == i), judge, schema), "toxic-scores") for i in range(rounds)])
