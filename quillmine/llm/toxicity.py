@@ -52,7 +52,7 @@ BUCKET_KEYS, LEAST_BUCKETS, PACK_ROWS = 1 << 17, 32, 200_000
 #: Bits of a key that a question holds. A bucket answers with the whole keys that fit, of which the asker takes its own.
 MARK_BITS = 24
 #: Rounds in which all documents are scored where the disk is short.
-ROUNDS = 4
+ROUNDS = 3
 #: Labels up to so many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: A count of every fold and class.
@@ -229,6 +229,23 @@ def _packing(kind: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _unpacked_sums(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of packed rows, ascending, and for each (a column here) the values that _summed() gives over all folds."""
+    keys, sums = [np.zeros(0, np.uint64)], [np.zeros((7, 0), np.int32)]
+    for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist(), strict=True):
+        keys.append(_keys_in(k))
+        v = _stretch(v, np.int64).reshape(-1, len(keys[-1]))
+        sums.append(np.zeros((7, v.shape[1]), np.int32))
+        for i in range(len(v) // len(SLOTS) * 2):
+            first = i // 2 * len(SLOTS)
+            sums[-1][i] = v[first + i % 2 : first + len(SLOTS) : 2].sum(0)
+        if len(v) == WIDTH:
+            sums[-1][6] = v[-1]
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    return every[order], np.concatenate(sums, 1)[:, order]
+
+
 def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys of packed rows, ascending, and their values."""
     parts = [(_keys_in(k), _stretch(v, np.int64)) for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist(), strict=True)]
@@ -318,9 +335,10 @@ class Model:
         def answer(asks: pa.Table, rows: pa.Table) -> pa.Table:
             """(to, bucket, nth, rest, vals): of the keys of this bucket that fit a chunk's marks, which mark they fit and their bits after it."""
             out = []
-            known, values = _unpacked(rows) if asks.num_rows and asks["docs"].null_count else (np.zeros(0, np.uint64), None)
-            if not folds and len(known):
-                values = _summed(values)
+            known, values = np.zeros(0, np.uint64), None
+            if asks.num_rows and asks["docs"].null_count:
+                known, values = _unpacked(rows) if folds else _unpacked_sums(rows)
+                values = values.T if folds else values
             marks = _marks(known, buckets)
             for to, chunk, keys in zip(asks["to"].to_pylist(), asks["chunk"].to_pylist(), asks["keys"].to_pylist(), strict=True):
                 if keys is None or not len(known):
@@ -332,9 +350,9 @@ class Model:
                 many = np.searchsorted(marks, wanted[i], "right") - begin[i]
                 fit = np.repeat(begin[i] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 if len(fit):
-                    got = values[fit]
+                    got = values[:, fit]
                     nth = np.diff(np.repeat(i, many).astype(np.int32), prepend=np.int32(0))
-                    out.append({"to": chunk, "bucket": to, "nth": _squeeze(nth), "rest": _squeeze(_rest(known[fit], buckets)), "vals": _squeeze(got.astype(np.int32).T)})
+                    out.append({"to": chunk, "bucket": to, "nth": _squeeze(nth), "rest": _squeeze(_rest(known[fit], buckets)), "vals": _squeeze(got.astype(np.int32))})
             return pa.Table.from_pylist(out, pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("nth", pa.binary()), ("rest", pa.binary()), ("vals", pa.binary())]))
 
         def judged(asks: pa.Table, answers: pa.Table) -> pa.Table:

@@ -79,6 +79,9 @@ def test_rounds_score_alike_and_leave_no_exchanges(spark):
     was = spark.conf.get(conf)
     model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
     assert model.weights is not None and not _shuffled(spark) - before
+    packed = model.table.toArrow()
+    keys, sums = toxicity._unpacked_sums(packed)
+    assert (keys == toxicity._unpacked(packed)[0]).all() and (sums.T == toxicity._summed(toxicity._unpacked(packed)[1])).all() and sums.any(1).all()
     rounds = toxicity.score(docs, model, keep=["doc_id"], rounds=3)
     assert not _shuffled(spark) - before and spark.conf.get(conf) == was
     assert rounds.columns == ["doc_id", "toxic_score"]
