@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmine.sources.tables import rewritten
+
 
 def tightest_container(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Of the functions (file, function, first, last) that hold a call (id, file, line), the one of the least span."""
-    met = calls.join(functions, "file").where(F.col("line").between(F.col("first"), F.col("last")))
+    """Of the functions (file, function, first, last) that hold a call (id, file, line), the one of the least span.
+
+    Equal ranges of a file count once, as do its called lines. Ranges whose spans have the same number of bits lie in
+    one or two cells of that size, and a line meets the ranges of its own cell of every size that its file has; so a
+    line doesn't meet the functions elsewhere in its file, and the calls themselves meet only what their lines have found.
+    """
+    ranges = functions.where("first <= last").groupBy("file", "first", "last").agg(F.min("function").alias("function"))
+    from_, to = F.floor("first").cast("long"), F.floor("last").cast("long")
+    ranges = ranges.withColumn("bits", F.length(F.bin(to - from_))).withColumn("from", from_).withColumn("to", to)
+    sizes = ranges.select("file", "bits").distinct()
+    cells = ranges.withColumn("cell", F.explode(F.array_distinct(F.array(F.expr("shiftright(`from`, bits)"), F.expr("shiftright(`to`, bits)")))))
+    lines = calls.select("file", "line").distinct()
+    asked = lines.join(sizes, "file").withColumn("cell", F.expr("shiftright(cast(floor(line) as long), bits)"))
+    met = asked.join(cells, ["file", "bits", "cell"]).where(F.col("line").between(F.col("first"), F.col("last")))
     least = F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "function"))
-    return met.groupBy("id").agg(least.alias("f")).select("id", "f.function", "f.span")
+    found = rewritten(met.groupBy("file", "line").agg(least.alias("f")))
+    return calls.select("id", "file", "line").join(found, ["file", "line"]).groupBy("id").agg(F.min("f").alias("f")).select("id", "f.function", "f.span")
 
 
 def first_existing(rows: DataFrame, candidates: Column, targets: DataFrame) -> DataFrame:
