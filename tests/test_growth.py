@@ -2,7 +2,7 @@
 
 import random
 
-from quillmine.operators import relations
+from quillmine.operators import boundaries, relations
 
 
 def most_joined(df):
@@ -34,3 +34,36 @@ def test_tightest_container_meets_few(spark):
     rows = found.collect()
     assert len(rows) == len(want) and {r.id: (r.span, r.function) for r in rows} == {i: (s, f) for i, (s, _, f) in want.items()}
     assert most_joined(found) <= len(calls)
+
+
+def test_declared_contracts_by_every_way(spark, monkeypatch):
+    """Contracts in files that all files reach used to meet all of these."""
+    draw = random.Random(3)
+    letters = [*"abcdefg", " h ", "h", "", None]
+    declared = [(draw.choice([None, *range(8)]), draw.randint(0, 9), p, draw.choice(letters)) for p in range(400)]
+    contracts = [(draw.choice(["a", "b", "b", "c", "d", "h", None]), draw.choice([*range(12), None])) for _ in range(25)]
+    reachable = [(draw.choice([None, *range(8)]), draw.choice([None, *range(12)])) for _ in range(40)]
+    times = {}
+    for file, declaration, _, name in declared:
+        if name and name.strip():
+            key = file, declaration, name.strip()
+            times[key] = times.get(key, 0) + 1
+    want = []
+    for (file, declaration, name), k in times.items():
+        held = [f for n, f in contracts if n == name]
+        own = [f for f in held if f is not None and f == file]
+        near = [f for f in held if f is not None and (file, f) in set(reachable) and file is not None]
+        n = len(own) or len(near) or len(held)
+        want += [(file, declaration, name, "DUPLICATE", "LOW")] * (k - 1)
+        want += [(file, declaration, name, *(("MISSING", "HIGH") if n == 0 else ("AMBIGUOUS", "MEDIUM")))] if n != 1 else []
+    frames = spark.createDataFrame(declared, "file long, declaration long, position long, name string"), spark.createDataFrame(contracts, "name string, file long"), spark.createDataFrame(reachable, "file long, target long")
+    for most in ((16, 256), (2, 256), (16, 2), (1, 1)):
+        monkeypatch.setattr(boundaries, "HOLDERS", most[0])
+        monkeypatch.setattr(boundaries, "TARGETS", most[1])
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in boundaries.declared_contracts(*frames).collect())
+    monkeypatch.undo()
+    names = [f"n{i}" for i in range(300)]
+    held = spark.createDataFrame([(n, f) for n in names for f in (1, 2)], "name string, file long")
+    every = spark.createDataFrame([(f, t) for f in range(10, 210) for t in (1, 2)], "file long, target long")
+    one = boundaries.declared_contracts(spark.createDataFrame([(f, 0, 0, names[f]) for f in range(10, 210)], "file long, declaration long, position long, name string"), held, every)
+    assert len(one.collect()) == 200 and most_joined(one) <= 200
