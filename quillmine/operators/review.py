@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmine.operators import alike
+from quillmine.sources.tables import rewritten
+
 
 def resolved_rules(layers: DataFrame) -> DataFrame:
     """Enabled rules of layers (rule, layer, position, enabled): the last layer that names a rule decides; the first place it was named orders."""
@@ -87,19 +90,35 @@ def similar_files(features: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): files, a < b, whose sets of features (file, feature) are alike at Jaccard least or more.
 
     Files meet on the features that a file's prefix holds, the rarest first: sets so alike share one of the
-    first n - ceil(least * n) + 1 features, so that frequent features join nothing.
+    first n - ceil(least * n) + 1 features, so that frequent features join nothing. They are compared where they meet on
+    the first feature they share. Files of a feature that few have are joined; others meet in packed blocks, of which
+    a task holds two.
     """
-    f = features.select("file", "feature").distinct()
+    f = features.where("file is not null and feature is not null").select("file", "feature").distinct()
     often = f.groupBy("feature").agg(F.count("*").alias("often"))
     sized = f.join(often, "feature").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("often", "feature"))).alias("s"))
     sized = sized.select("file", F.transform("s", lambda x: x["feature"]).alias("s"))
     n = F.size("s")
-    prefix = sized.select("file", F.explode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("feature"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.file") < F.col("b.file"))).select(F.col("a.file").alias("a"), F.col("b.file").alias("b")).distinct()
-    rows = met.join(sized.toDF("a", "x"), "a").join(sized.toDF("b", "y"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return rows.withColumn("similarity", both / (F.size("x") + F.size("y") - both)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    prefix = rewritten(sized.select("file", "s", F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))).alias("at", "feature")))
+    sizes = rewritten(prefix.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / alike.BLOCK)))
+    few = prefix.join(sizes.where(F.col("n") <= alike.FEW), "feature").select("feature", "file", "s")
+    a, b = few.toDF("feature", "a", "x"), few.toDF("feature", "b", "y")
+    met = a.join(b, "feature").where("a < b").withColumn("both", F.array_intersect("x", "y")).where("both[0] = feature")
+    similarity = F.size("both") / (F.size("x") + F.size("y") - F.size("both"))
+    found = met.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    many = sizes.where(F.col("n") > alike.FEW)
+    meetings = many.agg(F.sum(F.expr("blocks * (blocks + 1) / 2"))).first()[0]
+    if not meetings:
+        return found
+    dealt = prefix.join(many, "feature").withColumn("block", F.pmod(F.xxhash64("file"), F.col("blocks"))).select("feature", "blocks", "block", "file", "at", "s")
+    kinds = dict(dealt.dtypes)
+    blocks = rewritten(dealt.groupBy("feature", "blocks", "block").applyInArrow(alike.pack, f"feature {kinds['feature']}, blocks long, block long, held binary"))
+    parts = int(min(alike.MOST_PARTS, meetings))
+    x = blocks.select("feature", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("deal"), F.col("held").alias("x"), F.col("block").alias("own")).repartition(parts, "feature", "deal")
+    y = blocks.select("feature", F.col("block").alias("deal"), F.col("held").alias("y")).repartition(parts, "feature", "deal")
+    met = x.join(y.hint("merge"), ["feature", "deal"]).select("x", "y", (F.col("own") == F.col("deal")).alias("same"))
+    large = met.mapInArrow(alike.compare(least), f"a {kinds['file']}, b {kinds['file']}, similarity double")
+    return found.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
 
 
 def resolved_symbols(uses: DataFrame, candidates: DataFrame, show: int = 3) -> DataFrame:

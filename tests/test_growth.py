@@ -67,3 +67,25 @@ def test_declared_contracts_by_every_way(spark, monkeypatch):
     every = spark.createDataFrame([(f, t) for f in range(10, 210) for t in (1, 2)], "file long, target long")
     one = boundaries.declared_contracts(spark.createDataFrame([(f, 0, 0, names[f]) for f in range(10, 210)], "file long, declaration long, position long, name string"), held, every)
     assert len(one.collect()) == 200 and most_joined(one) <= 200
+
+
+def test_similar_files_in_blocks(spark, monkeypatch):
+    """Pairs that meet on several features used to be made for each of them, and told apart by an exchange."""
+    from quillmine.operators import alike, review
+
+    draw = random.Random(8)
+    for kinds, most, least, few, block in ((12, 9, 0.6, 2, 16), (900, 40, 0.4, 2, 16), (900, 40, 0.4, 64, 8192), (12, 9, 0.0, 2, 8192)):
+        sets = {f"f{i}": {f"w{draw.randrange(kinds)}" for _ in range(draw.randint(1, most))} for i in range(120)}
+        sets |= {f"g{i}": s ^ {f"w{draw.randrange(kinds)}"} for i, s in enumerate(list(sets.values())[:60])}
+        rows = [(k, x) for k, s in sets.items() for x in s] + [(None, "w1"), ("f1", None), ("f2", None)]
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+        want = {p: s for p, s in want.items() if s >= least}
+        monkeypatch.setattr(alike, "FEW", few)
+        monkeypatch.setattr(alike, "BLOCK", block)
+        found = review.similar_files(spark.createDataFrame(rows, "file string, feature string"), least).collect()
+        assert len(found) == len(want) and {(r.a, r.b): r.similarity for r in found} == want
+    monkeypatch.undo()
+    rows = [(i, x) for i in range(400) for x in range(8) if x != i % 8]
+    one = review.similar_files(spark.createDataFrame(rows, "file long, feature long"), 0.5)
+    assert len(one.collect()) == 400 * 399 // 2
+    assert most_joined(one) < 400
